@@ -493,7 +493,8 @@ def _bm25(chunks: str, queries: str, k: int) -> str:
     {_terms("qt", "query_id", "query", "queries")},
     tf AS (SELECT chunk_id, term, count(*) AS tf FROM ct GROUP BY ALL),
     dl AS (SELECT chunk_id, count(*) AS dl FROM ct GROUP BY ALL),
-    totals AS (SELECT (SELECT count(*) FROM chunks) AS n, (SELECT sum(dl) FROM dl) / n AS avgdl),
+    totals AS (SELECT n, tokens / n AS avgdl
+      FROM (SELECT count(*) AS n FROM chunks), (SELECT sum(dl) AS tokens FROM dl)),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
     stats AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, avgdl FROM df, totals),
     asked AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
@@ -585,7 +586,8 @@ def _text_sql() -> dict[str, str]:
         ),
         "chunk_documents": _with(
             SECTIONS,
-            """SELECT doc, position, title, heading, md5(text) AS text_md5 FROM sections WHERE text <> ''""",
+            """SELECT CAST(doc AS VARCHAR) AS doc, position, title, heading, md5(text) AS text_md5
+            FROM sections WHERE text <> ''""",
         ),
         "intent_classify": _with(
             QUESTIONS, "SELECT question_id, intent, md5(search) AS search_md5 FROM classified"

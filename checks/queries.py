@@ -389,8 +389,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    counts = bm25.term_counts(documents, "doc_id", F.col("text"))
-    return counts.select("doc_id", F.inline("counts"))
+    return bm25.term_frequencies(documents, "doc_id", F.col("text"))
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:

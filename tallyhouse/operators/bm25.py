@@ -51,15 +51,29 @@ def term_counts(rows: DataFrame, key: str, text: Column) -> DataFrame:
     )
 
 
+def _listed(rows: DataFrame, key: list[str], items: Column, field: str) -> DataFrame:
+    """One row per array item.
+
+    The outer form, because the plain one makes the optimiser test the array's size further down,
+    where it would have to work the array out again for that test, and again for each token.
+    """
+    return rows.select(*key, F.inline_outer(items)).filter(F.col(field).isNotNull())
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, dl, term, tf."""
-    return term_counts(chunks, "chunk_id", index_text()).select("chunk_id", "dl", F.inline("counts"))
+    counts = term_counts(chunks, "chunk_id", index_text())
+    return _listed(counts, ["chunk_id", "dl"], F.col("counts"), "term")
+
+
+def term_frequencies(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """key, term, tf."""
+    return _listed(term_counts(rows, key, text), [key], F.col("counts"), "term")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term, qtf; a term asked for twice counts twice."""
-    counts = term_counts(queries, "query_id", F.col("query"))
-    return counts.select("query_id", F.inline("counts")).withColumnRenamed("tf", "qtf")
+    return term_frequencies(queries, "query_id", F.col("query")).withColumnRenamed("tf", "qtf")
 
 
 def _document_frequency(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -70,7 +84,7 @@ def _document_frequency(chunks: DataFrame, vocabulary: DataFrame | None = None)
     terms = F.transform(
         "counts", lambda c: F.struct(c["term"].alias("term"), F.lit(None).cast("int").alias("tokens"))
     )
-    listed = counts.select(F.inline(F.array_append(terms, everything)))
+    listed = _listed(counts, [], F.array_append(terms, everything), "term")
     if vocabulary is not None:
         wanted = vocabulary.select("term").union(listed.sparkSession.range(1).select(F.lit(_ALL)))
         listed = listed.join(wanted.distinct(), "term", "left_semi")

@@ -38,15 +38,16 @@ def chunk_markdown(documents: DataFrame) -> DataFrame:
 
     A section runs from one "## " line to the next. A "# " line sets the title from there on and
     is the heading of the section it stands in. Sections without text are left out.
-    Nothing is shuffled: a document is one row, and its sections leave it by ``inline``.
+    Nothing is shuffled: a document is one row, and its sections leave it by ``inline_outer`` (the
+    plain form would be tested for size further down and so be worked out twice).
     """
     text = F.regexp_replace(F.col("text"), LINE_ENDS, "\n")
     parts = F.split(text, r"\n(?=## )")
     return (
-        documents.select("doc", parts.alias("parts"))
+        documents.select(F.col("doc").cast("string").alias("doc"), parts.alias("parts"))
         .select("doc", F.transform("parts", _section).alias("sections"))
         .select("doc", "sections", _title_starts("sections").alias("starts"))
-        .select("doc", F.inline(_with_titles("sections", "starts")))
+        .select("doc", F.inline_outer(_with_titles("sections", "starts")))
         .select(
             "doc",
             "position",
