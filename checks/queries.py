@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.extracts import extracts, table
+from checks.extracts import extracts, spread_table, table
 from tallyhouse.functions import parsing
 from tallyhouse.functions.keys import canonical_key
 from tallyhouse.functions.text import raw_tokens, redact, search_tokens, title_case
@@ -319,8 +319,7 @@ def _hits(spark: SparkSession, folder: str) -> DataFrame:
 
 def _first_run(spark: SparkSession, folder: str) -> DataFrame:
     """The log after one run over an empty one."""
-    empty = spark.createDataFrame([], actions.SCHEMA)
-    return actions.new_actions(_hits(spark, folder), empty, RUN_AT, 1)
+    return actions.new_actions(_hits(spark, folder), actions.empty_log(spark), RUN_AT, 1)
 
 
 @_query
@@ -372,14 +371,14 @@ def rule_audit(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def redact_documents(spark: SparkSession, folder: str) -> DataFrame:
     clean = redact(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", F.md5(clean).alias("redacted_md5"), F.length(clean).alias("redacted_chars")
     )
 
 
 @_query
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents", "doc_id", "text").select(
         "doc_id",
         F.size(raw_tokens(F.col("text"))).alias("tokens"),
         F.size(search_tokens(F.col("text"))).alias("search_tokens"),
@@ -388,12 +387,12 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = spread_table(spark, folder, "documents", "doc_id", "text")
     return bm25.term_frequencies(documents, "doc_id", F.col("text"))
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents", "doc_id", "source", "text").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("heading"), "text"
     )
 
@@ -425,7 +424,8 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     text = F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.array_join(lines, "\n"))
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), text.alias("text"))
+    documents = spread_table(spark, folder, "documents", "doc_id", "source", "text")
+    return documents.select(F.col("doc_id").alias("doc"), text.alias("text"))
 
 
 @_query
@@ -435,7 +435,8 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations").filter(F.col("role") == "user")
+    turns = spread_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    turns = turns.filter(F.col("role") == "user")
     return turns.select(
         F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.col("text").alias("question")
     )

@@ -24,6 +24,11 @@ MANAGER = "account_manager"  # an owner that stands for the manager of the accou
 OPEN = "open"
 
 
+def empty_log(spark: SparkSession) -> DataFrame:
+    nulls = (f"CAST(NULL AS {kind}) AS {name}" for name, kind in map(str.split, SCHEMA.split(", ")))
+    return spark.sql(f"SELECT {', '.join(nulls)} WHERE false")
+
+
 def rule_hits(spark: SparkSession, rule: dict) -> DataFrame:
     """Rows a rule's query finds in the registered marts."""
     return spark.sql(rule["sql"]).select("customer_id", "company_name", "account_manager", "reason")
@@ -145,7 +150,7 @@ class ActionLog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        spark.createDataFrame([], SCHEMA).write.mode("ignore").parquet(folder)
+        empty_log(spark).write.mode("ignore").parquet(folder)
 
     def entries(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.folder)

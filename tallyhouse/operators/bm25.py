@@ -76,44 +76,46 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return term_frequencies(queries, "query_id", F.col("query")).withColumnRenamed("tf", "qtf")
 
 
-def _document_frequency(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """term, df, tokens. The pseudo-term's row holds the number of chunks and of tokens, so one
-    pass over the text gives every statistic."""
+def _counted(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Postings (all, or those of a vocabulary's terms) and a pseudo-term once for every chunk.
+
+    With that, this one pass over the text is enough for every statistic and for the scores.
+    """
     counts = term_counts(chunks, "chunk_id", index_text())
-    everything = F.struct(F.lit(_ALL).alias("term"), F.col("dl").alias("tokens"))
-    terms = F.transform(
-        "counts", lambda c: F.struct(c["term"].alias("term"), F.lit(None).cast("int").alias("tokens"))
-    )
-    listed = _listed(counts, [], F.array_append(terms, everything), "term")
-    if vocabulary is not None:
-        wanted = vocabulary.select("term").union(listed.sparkSession.range(1).select(F.lit(_ALL)))
-        listed = listed.join(wanted.distinct(), "term", "left_semi")
-    return listed.groupBy("term").agg(F.count("*").alias("df"), F.sum("tokens").alias("tokens"))
+    everything = F.struct(F.lit(_ALL).alias("term"), F.lit(1).alias("tf"))
+    listed = _listed(counts, ["chunk_id", "dl"], F.array_append("counts", everything), "term")
+    if vocabulary is None:
+        return listed
+    pseudo = vocabulary.sparkSession.range(1).select(F.lit(_ALL).alias("term"))
+    return listed.join(vocabulary.union(pseudo), "term", "left_semi")
 
 
 def _idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def _with_totals(frequency: DataFrame) -> DataFrame:
+def _stats(frequency: DataFrame) -> DataFrame:
     """term, df, idf, avgdl for every real term."""
-    total = frequency.filter(F.col("term") == _ALL)
-    n = total.select("df").scalar()
-    avgdl = total.select(F.col("tokens") / F.col("df")).scalar()
+    everything = frequency.filter(F.col("term") == _ALL)
+    n = everything.select("df").scalar()
+    avgdl = everything.select(F.col("tokens") / F.col("df")).scalar()
     return frequency.filter(F.col("term") != _ALL).select(
         "term", "df", _idf(n, F.col("df")).alias("idf"), avgdl.alias("avgdl")
     )
 
 
-def term_stats(
-    chunks: DataFrame, vocabulary: DataFrame | None = None, store: Store | None = None
-) -> DataFrame:
-    """Document frequency and IDF of every term, or of a vocabulary, and the mean chunk length.
+def _frequency(counted: DataFrame) -> DataFrame:
+    """term, df, tokens of the chunks it is in; hot terms are added up before the shuffle."""
+    return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("tokens"))
+
+
+def term_stats(chunks: DataFrame, store: Store | None = None) -> DataFrame:
+    """Document frequency and IDF of every term, and the mean chunk length.
 
     With a store the counts are written, so that the totals do not cost a second pass.
     """
-    frequency = _document_frequency(chunks, vocabulary)
-    return _with_totals(store.write("bm25_terms", frequency) if store else frequency)
+    frequency = _frequency(_counted(chunks))
+    return _stats(store.write("bm25_terms", frequency) if store else frequency)
 
 
 def search(
@@ -125,16 +127,23 @@ def search(
 ) -> DataFrame:
     """The k best chunks of every query: query_id, rank, chunk_id, score.
 
-    Rows are spread by the more numerous side, and all that belongs to one chunk (or one query)
-    is then scored where it is. Hot terms do no harm: they are spread over their chunks.
+    Text is read once: with a store, the postings of the terms asked for are written, and
+    statistics and scores come from them. Rows are spread by the more numerous side, and all that
+    belongs to one chunk (or one query) is then scored where it is. Hot terms do no harm: their
+    postings lie with their chunks, not together.
     """
     asked = query_terms(queries)
     if store:
         asked = store.write("bm25_queries", asked)  # Spark then knows whether it is small
-    stats = term_stats(chunks, asked.select("term").distinct(), store)
+    counted = _counted(chunks, asked.select("term").distinct())
+    if store:
+        counted = store.write("bm25_postings", counted)
+    frequency = _frequency(counted)
+    stats = _stats(store.write("bm25_terms", frequency) if store else frequency)
+
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    weights = postings(chunks).join(stats, "term").select("chunk_id", "term", weight.alias("weight"))
+    weights = counted.join(stats, "term").select("chunk_id", "term", weight.alias("weight"))
     if more_queries_than_chunks:
         asked = asked.repartition("query_id")
     else:

@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Share the rows of a file scan out where it has fewer splits than there are cores.
+
+    Parsing and tokenising cost far more than reading, so one big split would keep the other
+    cores waiting. Such an input is at most a few splits, so the shuffle is small; a scan with
+    enough splits stays as it is. Only for plain scans: anything else would be run to count them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def _records_span_lines(spark: SparkSession, path: str) -> bool:
     """Whether any CSV record may run over a line end.
 
@@ -22,12 +33,12 @@ def _read_csv(spark: SparkSession, path: str, layout: str | None) -> DataFrame:
     frame = spark.read.csv(
         path, header=True, quote='"', escape='"', multiLine=whole_files, enforceSchema=False
     )
-    return frame.na.fill("")  # an empty CSV field is empty text, not a missing value
+    return spread(frame).na.fill("")  # an empty CSV field is empty text, not a missing value
 
 
 def _read_json(spark: SparkSession, path: str, layout: str | None, fields: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(name, T.StringType()) for name in fields])
-    return spark.read.schema(schema).json(path, multiLine=layout != "lines", mode="FAILFAST")
+    return spread(spark.read.schema(schema).json(path, multiLine=layout != "lines", mode="FAILFAST"))
 
 
 def read_source(spark: SparkSession, folder: str, source: dict) -> DataFrame:
