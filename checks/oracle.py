@@ -425,6 +425,9 @@ def _action_sql() -> dict[str, str]:
         "actions_by_rule": _with(
             ACTIONS, "SELECT rule_name, count(*) AS actions FROM hits GROUP BY 1"
         ),
+        "actions_by_owner": _with(
+            ACTIONS, "SELECT owner, count(*) AS actions FROM hits GROUP BY 1 ORDER BY 1"
+        ),
         "action_metrics": _with(
             ACTIONS,
             """SELECT count(*) AS open_actions, count(*) FILTER (priority = 'high') AS high_priority,

@@ -332,6 +332,11 @@ def actions_by_rule(spark: SparkSession, folder: str) -> DataFrame:
     return actions.actions_by_rule(_first_run(spark, folder))
 
 
+@_query
+def actions_by_owner(spark: SparkSession, folder: str) -> DataFrame:
+    return actions.actions_by_owner(_first_run(spark, folder))
+
+
 @_query
 def action_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return actions.action_metrics(_first_run(spark, folder))

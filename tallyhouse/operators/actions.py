@@ -96,11 +96,13 @@ def priority_rank() -> Column:
     return F.when(priority == "high", 0).when(priority == "medium", 1).otherwise(2)
 
 
-def open_actions(log: DataFrame) -> DataFrame:
-    """The work list, most urgent first."""
+def open_actions(log: DataFrame, owner: str | None = None) -> DataFrame:
+    """The work list, most urgent first; of everybody or of one owner."""
+    entries = open_entries(log)
+    if owner is not None:
+        entries = entries.filter(F.col("owner") == owner)
     return (
-        open_entries(log)
-        .orderBy(priority_rank(), "rule_name", "company_name", "customer_id")
+        entries.orderBy(priority_rank(), "rule_name", "company_name", "customer_id")
         .select(
             "rule_name",
             "priority",
@@ -119,6 +121,10 @@ def actions_by_rule(log: DataFrame) -> DataFrame:
     return open_entries(log).groupBy("rule_name").agg(F.count("*").alias("actions"))
 
 
+def actions_by_owner(log: DataFrame) -> DataFrame:
+    return open_entries(log).groupBy("owner").agg(F.count("*").alias("actions")).orderBy("owner")
+
+
 def action_metrics(log: DataFrame) -> DataFrame:
     return open_entries(log).agg(
         F.count("*").alias("open_actions"),

@@ -17,6 +17,9 @@ K1, B = 1.5, 0.75
 TOP_K = 3
 # Ranks compare rounded scores: equal passages must tie whatever order their terms were added in.
 RANK_DECIMALS = 6
+# Up to this many short rows (an id, a term and a number) a side is broadcast; beyond it Spark
+# joins by shuffle and splits hot terms itself.
+BROADCAST_ROWS = 1_000_000
 _ALL = ""  # the pseudo-term that counts every chunk once
 
 
@@ -104,6 +107,11 @@ def _stats(frequency: DataFrame) -> DataFrame:
     )
 
 
+def _broadcast_if_small(written: DataFrame, joined: DataFrame) -> DataFrame:
+    """``joined`` with a broadcast hint if the written table it comes from is small."""
+    return F.broadcast(joined) if written.count() <= BROADCAST_ROWS else joined
+
+
 def _frequency(counted: DataFrame) -> DataFrame:
     """term, df, tokens of the chunks it is in; hot terms are added up before the shuffle."""
     return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("tokens"))
@@ -134,7 +142,7 @@ def search(
     """
     asked = query_terms(queries)
     if store:
-        asked = store.write("bm25_queries", asked)  # Spark then knows whether it is small
+        asked = store.write("bm25_queries", asked)
     counted = _counted(chunks, asked.select("term").distinct())
     if store:
         counted = store.write("bm25_postings", counted)
@@ -145,8 +153,10 @@ def search(
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / norm
     weights = counted.join(stats, "term").select("chunk_id", "term", weight.alias("weight"))
     if more_queries_than_chunks:
+        weights = _broadcast_if_small(counted, weights) if store else weights
         asked = asked.repartition("query_id")
     else:
+        asked = _broadcast_if_small(asked, asked) if store else asked
         weights = weights.repartition("chunk_id")
     scores = (
         weights.join(asked, "term")

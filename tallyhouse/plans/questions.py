@@ -6,12 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import redact
 from tallyhouse.operators import bm25
+from tallyhouse.operators.chunking import chunk_markdown
 from tallyhouse.plans import metrics
+from tallyhouse.plans.marts import Marts
+from tallyhouse.sources.files import read_markdown
 from tallyhouse.sources.store import Store
 
 PASSAGE_CHARS = 500
@@ -104,7 +107,7 @@ def with_policy(classified: DataFrame, chunks: DataFrame, store: Store | None =
     Each distinct search text is looked up once, however many questions share it.
     """
     asked = classified.withColumn("search_id", F.md5("search"))
-    queries = asked.groupBy(F.col("search_id").alias("query_id")).agg(F.first("search").alias("query"))
+    queries = asked.select(F.col("search_id").alias("query_id"), F.col("search").alias("query")).distinct()
     best = bm25.search(chunks, queries, k=1, store=store, more_queries_than_chunks=True)
     passages = chunks.select(
         "chunk_id",
@@ -115,3 +118,33 @@ def with_policy(classified: DataFrame, chunks: DataFrame, store: Store | None =
     return asked.join(found, "search_id", "left").select(
         "question_id", "intent", "chunk_id", "section", "passage"
     )
+
+
+def knowledge_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections of a folder of Markdown policies, ready to search."""
+    position = F.lpad(F.col("position").cast("string"), 6, "0")
+    return chunk_markdown(read_markdown(spark, folder)).select(
+        F.concat("doc", F.lit(".md#"), position).alias("chunk_id"), "title", "heading", "text"
+    )
+
+
+@dataclass(frozen=True)
+class Answer:
+    """What the data and the policies say to one question. Both frames are still lazy."""
+
+    heading: str | None
+    report: DataFrame | None
+    policy: DataFrame
+
+
+def answer(question: str, marts: Marts, chunks: DataFrame) -> Answer:
+    """The saved report a question asks for, if any, and the best policy passage."""
+    spark = chunks.sparkSession
+    asked = spark.createDataFrame([("1", question)], "question_id string, question string")
+    sorted_out = classify(asked)
+    name = sorted_out.first()["intent"]
+    policy = with_policy(sorted_out, chunks).select("chunk_id", "section", "passage")
+    intent = next((i for i in INTENTS if i.name == name), None)
+    if intent is None:
+        return Answer(None, None, policy)
+    return Answer(intent.heading, intent.report(marts.table(intent.table)), policy)
