@@ -175,7 +175,7 @@ def _ingest_sql() -> dict[str, str]:
             SELECT o_orderkey,
               CASE WHEN o_orderkey % 7 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS as_date,
               CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS VARCHAR) END AS as_datetime,
-              CASE WHEN o_orderkey % 13 NOT IN (0, 1, 4) THEN o_orderkey END AS as_int,
+              CASE WHEN o_orderkey % 13 NOT IN (0, 1, 4) THEN CAST(o_orderkey AS DOUBLE) END AS as_int,
               CASE WHEN o_orderkey % 13 = 4 THEN o_orderkey + 0.5::DOUBLE
                    WHEN o_orderkey % 13 NOT IN (0, 1) THEN CAST(o_orderkey AS DOUBLE) END AS as_float
             FROM orders""",
@@ -186,7 +186,8 @@ def _ingest_sql() -> dict[str, str]:
             FROM part""",
         "ingest_customer": _with(
             CRM,
-            """SELECT * REPLACE (CAST(customer_since AS VARCHAR) AS customer_since) FROM dim_customer""",
+            """SELECT * REPLACE (CAST(customer_since AS VARCHAR) AS customer_since, CAST(seats AS BIGINT) AS seats)
+            FROM dim_customer""",
         ),
         "ingest_invoice": _with(
             DIRTY,
@@ -197,13 +198,14 @@ def _ingest_sql() -> dict[str, str]:
         "ingest_ticket": _with(
             DIRTY,
             f"""SELECT CAST(ticket_id AS VARCHAR) AS ticket_id, customer_id, priority, category, summary,
-              CAST(opened_at AS VARCHAR) AS opened_at, CAST(resolved_at AS VARCHAR) AS resolved_at, csat_score
+              CAST(opened_at AS VARCHAR) AS opened_at, CAST(resolved_at AS VARCHAR) AS resolved_at,
+              CAST(csat_score AS DOUBLE) AS csat_score
             FROM dirty_ticket WHERE {KNOWN}""",
         ),
         "ingest_usage": _with(
             DIRTY,
-            f"""SELECT customer_id, CAST(month AS VARCHAR) AS month, voice_minutes,
-              round(data_gb, 4) AS data_gb, outage_minutes
+            f"""SELECT customer_id, CAST(month AS VARCHAR) AS month, CAST(voice_minutes AS BIGINT) AS voice_minutes,
+              round(data_gb, 4) AS data_gb, CAST(outage_minutes AS BIGINT) AS outage_minutes
             FROM fact_usage WHERE {KNOWN}""",
         ),
         "orphan_records": _with(
@@ -251,13 +253,15 @@ def _mart_sql() -> dict[str, str]:
         "fact_invoice": _with(
             INVOICES,
             """SELECT * REPLACE (CAST(issued_date AS VARCHAR) AS issued_date,
-              CAST(paid_date AS VARCHAR) AS paid_date, round(amount_gbp, 4) AS amount_gbp)
+              CAST(paid_date AS VARCHAR) AS paid_date, round(amount_gbp, 4) AS amount_gbp,
+              CAST(days_to_pay AS DOUBLE) AS days_to_pay, CAST(days_outstanding AS DOUBLE) AS days_outstanding)
             FROM fact_invoice""",
         ),
         "fact_ticket": _with(
             TICKETS,
             """SELECT * REPLACE (CAST(opened_at AS VARCHAR) AS opened_at,
-              CAST(resolved_at AS VARCHAR) AS resolved_at, round(resolution_hours, 4) AS resolution_hours)
+              CAST(resolved_at AS VARCHAR) AS resolved_at, round(resolution_hours, 4) AS resolution_hours,
+              CAST(csat_score AS DOUBLE) AS csat_score)
             FROM fact_ticket""",
         ),
         "fact_usage": _with(
@@ -568,16 +572,16 @@ def _text_sql() -> dict[str, str]:
     clean = _redacted("text")
     return {
         "redact_documents": f"""
-            SELECT doc_id, md5({clean}) AS redacted_md5, length({clean}) AS redacted_chars FROM documents""",
+            SELECT doc_id, md5({clean}) AS redacted_md5, CAST(length({clean}) AS INT) AS redacted_chars FROM documents""",
         "token_counts": _with(
             _terms("kept", "doc_id", "text", "documents"),
-            """SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9£]+')) AS tokens,
-              coalesce(n, 0) AS search_tokens
+            """SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9£]+')) AS INT) AS tokens,
+              CAST(coalesce(n, 0) AS INT) AS search_tokens
             FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM kept GROUP BY 1) USING (doc_id)""",
         ),
         "term_frequencies": _with(
             _terms("kept", "doc_id", "text", "documents"),
-            "SELECT doc_id, term, count(*) AS tf FROM kept GROUP BY ALL",
+            "SELECT doc_id, term, CAST(count(*) AS INT) AS tf FROM kept GROUP BY ALL",
         ),
         "bm25_term_stats": _with(
             _bm25(DOCUMENTS, BENCHMARK, 3),
@@ -599,7 +603,7 @@ def _text_sql() -> dict[str, str]:
             QUESTIONS
             + ", "
             + _bm25(POLICIES, "SELECT DISTINCT search AS query_id, search AS query FROM classified", 1),
-            f"""SELECT question_id, intent, chunk_id, heading AS section, left(text, {PASSAGE_CHARS}) AS passage
+            f"""SELECT question_id, intent, CAST(chunk_id AS DOUBLE) AS chunk_id, heading AS section, left(text, {PASSAGE_CHARS}) AS passage
             FROM classified LEFT JOIN best ON query_id = search LEFT JOIN chunks USING (chunk_id)""",
         ),
     }

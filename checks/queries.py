@@ -74,11 +74,14 @@ def _mart(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return marts(spark, folder).table(name)
 
 
-def plain(frame: DataFrame) -> DataFrame:
-    """Dates and times as text and doubles with four decimals, so that engines compare alike."""
+def plain(frame: DataFrame, may_lack: tuple[str, ...] = ()) -> DataFrame:
+    """Results in a form that every engine and client shows alike: dates and times as text, doubles
+    with four decimals, and whole numbers that may be missing as doubles."""
 
     def shown(name: str, kind: str):
         column = F.col(name)
+        if name in may_lack:
+            return column.cast("double").alias(name)
         if kind == "double":
             return F.round(column, 4).alias(name)
         if kind in ("date", "timestamp_ntz", "timestamp"):
@@ -88,6 +91,9 @@ def plain(frame: DataFrame) -> DataFrame:
     return frame.select(*(shown(name, kind) for name, kind in frame.dtypes))
 
 
+MAY_LACK = ("csat_score", "days_to_pay", "days_outstanding")
+
+
 # --- Column functions over raw-style text -----------------------------------
 
 
@@ -146,7 +152,8 @@ def parse_types(spark: SparkSession, folder: str) -> DataFrame:
             ).alias("as_datetime"),
             parsing.parse(F.col("number"), {"type": "int"}).alias("as_int"),
             parsing.parse(F.col("number"), {"type": "float"}).alias("as_float"),
-        )
+        ),
+        ("as_int",),
     )
 
 
@@ -163,7 +170,7 @@ def title_case_query_(spark: SparkSession, folder: str) -> DataFrame:
 
 def _register_ingest(entity: str) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return plain(dirty_ingest(spark, folder).frame(entity))
+        return plain(dirty_ingest(spark, folder).frame(entity), MAY_LACK)
 
     _QUERIES[f"ingest_{entity}"] = query
 
@@ -199,7 +206,7 @@ def lineage(spark: SparkSession, folder: str) -> DataFrame:
 
 def _register_mart(name: str) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return plain(_mart(spark, folder, name))
+        return plain(_mart(spark, folder, name), MAY_LACK)
 
     _QUERIES[name] = query
 
@@ -462,7 +469,7 @@ def question_policy(spark: SparkSession, folder: str) -> DataFrame:
         "text",
     )
     asked = questions.classify(_asked(spark, folder))
-    return questions.with_policy(asked, passages, Store.fresh(spark, "policy"))
+    return plain(questions.with_policy(asked, passages, Store.fresh(spark, "policy")), ("chunk_id",))
 
 
 # --- Governed queries -------------------------------------------------------

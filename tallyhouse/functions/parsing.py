@@ -45,9 +45,12 @@ def _date(text: Column, spec: dict) -> Column:
 
 
 def _datetime(text: Column, spec: dict) -> Column:
+    """Read as UTC and counted from the epoch, so no session time zone can move a local time."""
     pattern, shape = _date_pattern(spec["format"])
-    parsed = F.try_to_timestamp(text, F.lit(pattern))
-    return F.when(text.rlike(shape), parsed).cast("timestamp_ntz")
+    in_utc = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{pattern} Z"))
+    seconds = F.when(text.rlike(shape), F.unix_seconds(in_utc))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=seconds)
 
 
 def _number(text: Column) -> Column:
