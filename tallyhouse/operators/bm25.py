@@ -7,6 +7,9 @@ some query asks for, and at the end at most k rows per query and task.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +20,8 @@ K1, B = 1.5, 0.75
 TOP_K = 3
 # Ranks compare rounded scores: equal passages must tie whatever order their terms were added in.
 RANK_DECIMALS = 6
-# Up to this many short rows (an id, a term and a number) a side is broadcast; beyond it Spark
-# joins by shuffle and splits hot terms itself.
-BROADCAST_ROWS = 1_000_000
+# So many short rows (an id, a term and a number) are broadcast at a time.
+BROADCAST_ROWS = 2_000_000
 _ALL = ""  # the pseudo-term that counts every chunk once
 
 
@@ -107,11 +109,6 @@ def _stats(frequency: DataFrame) -> DataFrame:
     )
 
 
-def _broadcast_if_small(written: DataFrame, joined: DataFrame) -> DataFrame:
-    """``joined`` with a broadcast hint if the written table it comes from is small."""
-    return F.broadcast(joined) if written.count() <= BROADCAST_ROWS else joined
-
-
 def _frequency(counted: DataFrame) -> DataFrame:
     """term, df, tokens of the chunks it is in; hot terms are added up before the shuffle."""
     return counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("tokens"))
@@ -126,6 +123,25 @@ def term_stats(chunks: DataFrame, store: Store | None = None) -> DataFrame:
     return _stats(store.write("bm25_terms", frequency) if store else frequency)
 
 
+def _broadcast_blocks(written: DataFrame, side: DataFrame, key: str) -> list[DataFrame]:
+    """One side of the join in parts small enough to broadcast, each with whole keys.
+
+    ``written`` is the table the side is made from, row by row, and gives its size.
+    """
+    blocks = max(1, math.ceil(written.count() / BROADCAST_ROWS))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return [F.broadcast(side.filter(block == i) if blocks > 1 else side) for i in range(blocks)]
+
+
+def _scores(weights: DataFrame, asked: DataFrame) -> DataFrame:
+    return (
+        weights.join(asked, "term")
+        .groupBy("query_id", "chunk_id")
+        .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+        .filter(F.col("score") > 0)
+    )
+
+
 def search(
     chunks: DataFrame,
     queries: DataFrame,
@@ -135,10 +151,11 @@ def search(
 ) -> DataFrame:
     """The k best chunks of every query: query_id, rank, chunk_id, score.
 
-    Text is read once: with a store, the postings of the terms asked for are written, and
-    statistics and scores come from them. Rows are spread by the more numerous side, and all that
-    belongs to one chunk (or one query) is then scored where it is. Hot terms do no harm: their
-    postings lie with their chunks, not together.
+    With a store, text is read once: the postings of the terms asked for are written, and
+    statistics and scores come from them. The more numerous side is spread by its id, once; the
+    other is broadcast to it in blocks. All that adds to one score is then in one place, so pairs
+    are never shuffled, only the k best of each query and task. Hot terms do no harm: their postings
+    lie with their chunks, not together.
     """
     asked = query_terms(queries)
     if store:
@@ -153,19 +170,15 @@ def search(
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / norm
     weights = counted.join(stats, "term").select("chunk_id", "term", weight.alias("weight"))
     if more_queries_than_chunks:
-        weights = _broadcast_if_small(counted, weights) if store else weights
+        blocks = _broadcast_blocks(counted, weights, "chunk_id") if store else [weights]
         asked = asked.repartition("query_id")
+        parts = [_scores(block, asked) for block in blocks]
     else:
-        asked = _broadcast_if_small(asked, asked) if store else asked
+        blocks = _broadcast_blocks(asked, asked, "query_id") if store else [asked]
         weights = weights.repartition("chunk_id")
-    scores = (
-        weights.join(asked, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
-        .filter(F.col("score") > 0)
-    )
+        parts = [_scores(weights, block) for block in blocks]
     best = Window.partitionBy("query_id").orderBy(
         F.round("score", RANK_DECIMALS).desc(), F.col("chunk_id")
     )
-    ranked = scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "chunk_id", "score")
+    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

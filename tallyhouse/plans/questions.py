@@ -14,6 +14,7 @@ from tallyhouse.operators import bm25
 from tallyhouse.operators.chunking import chunk_markdown
 from tallyhouse.plans import metrics
 from tallyhouse.plans.marts import Marts
+from tallyhouse.sources.audit import AuditLog
 from tallyhouse.sources.files import read_markdown
 from tallyhouse.sources.store import Store
 
@@ -137,12 +138,14 @@ class Answer:
     policy: DataFrame
 
 
-def answer(question: str, marts: Marts, chunks: DataFrame) -> Answer:
+def answer(question: str, marts: Marts, chunks: DataFrame, audit: AuditLog | None = None) -> Answer:
     """The saved report a question asks for, if any, and the best policy passage."""
     spark = chunks.sparkSession
     asked = spark.createDataFrame([("1", question)], "question_id string, question string")
     sorted_out = classify(asked)
-    name = sorted_out.first()["intent"]
+    _, redacted, name, _ = sorted_out.first()
+    if audit:
+        audit.record("questions", "question", {"question": redacted, "intent": name or "none"})
     policy = with_policy(sorted_out, chunks).select("chunk_id", "section", "passage")
     intent = next((i for i in INTENTS if i.name == name), None)
     if intent is None:

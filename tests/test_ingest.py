@@ -22,7 +22,7 @@ def ingested(spark, raw, request):
 
 
 def rows(frame):
-    return sorted(tuple(r) for r in frame.collect())
+    return sorted((tuple(r) for r in frame.collect()), key=str)
 
 
 def test_quoted_fields_and_empty_text(raw):
@@ -126,5 +126,16 @@ def test_a_customer_with_a_third_of_all_rows_and_many_bad_keys(spark):
     assert result.quality_report().count() == n // 3 + orphans
 
 
+def test_many_unknown_keys_are_joined_by_shuffle(spark, raw, ingested, monkeypatch):
+    monkeypatch.setattr("tallyhouse.operators.ingest.BROADCAST_KEYS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = ingest(raw, load_sources(), Store.fresh(spark, "shuffle"))
+        assert rows(again.quality_report()) == rows(ingested.quality_report())
+        assert rows(again.frame("invoice")) == rows(ingested.frame("invoice"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")

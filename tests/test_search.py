@@ -10,9 +10,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from checks import queries as registered
 from tallyhouse.operators import bm25
 from tallyhouse.operators.chunking import chunk_markdown
 from tallyhouse.plans import questions
+from tallyhouse.sources.audit import AuditLog
 from tallyhouse.sources.store import Store
 from tests.test_functions import masked, python_tokens
 
@@ -131,21 +133,29 @@ def test_bm25_is_the_formula(spark, chunk_words, query_words, stored, many_queri
         assert found[key][0] == chunk_id and found[key][1] == pytest.approx(score)
 
 
-def test_shuffle_join_gives_the_same_as_broadcast(spark, small, monkeypatch):
+@pytest.mark.parametrize("many_queries", [False, True])
+def test_blocks_and_shuffle_joins_give_the_same(spark, small, monkeypatch, many_queries):
     chunks = spark.read.parquet(f"{small}/documents.parquet").selectExpr(
         "doc_id AS chunk_id", "source AS heading", "text"
     )
     asked = spark.read.parquet(f"{small}/benchmark.parquet").selectExpr("item_id AS query_id", "text AS query")
-    broadcast = bm25.search(chunks, asked, store=Store.fresh(spark, "a")).drop("score").collect()
-    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 0)
+
+    def best(store):
+        found = bm25.search(chunks, asked, store=store, more_queries_than_chunks=many_queries)
+        return sorted(found.drop("score").collect())
+
+    one_block = best(Store.fresh(spark, "one"))
+    store = Store.fresh(spark, "many")
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 3000 if many_queries else 500)
+    blocks = best(store)
+    written = store.read("bm25_postings" if many_queries else "bm25_queries")
+    assert written.count() > 2 * bm25.BROADCAST_ROWS
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        shuffled = bm25.search(chunks, asked, store=Store.fresh(spark, "b")).drop("score").collect()
+        shuffled = best(None)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    assert sorted(broadcast) == sorted(shuffled) and broadcast
+    assert one_block == blocks == shuffled and one_block
 
 
 def test_term_counts_of_a_hot_term(spark):
@@ -179,11 +189,10 @@ def test_questions_by_intent(spark, policies):
     assert got["6"].search == masked(asked[5][1])
 
 
-def test_answer_to_one_question(spark, small, policies):
-    from checks import queries as registered
-
-    marts = registered.marts(spark, small)
-    reply = questions.answer("Who owes us money?", marts, policies)
+def test_answer_to_one_question(spark, small, policies, tmp_path):
+    marts, audit = registered.marts(spark, small), AuditLog(spark, str(tmp_path / "audit"))
+    reply = questions.answer("Who owes us money? Tell ann@x.org", marts, policies, audit)
+    assert audit.tail(1).first().detail == {"question": "Who owes us money? Tell [EMAIL]", "intent": "debt"}
     assert reply.heading == "Customers with invoices more than 45 days overdue:"
     assert 0 < reply.report.count() <= 10
     assert reply.policy.first().section == "Late delivery"  # "credit" is all it shares
