@@ -23,7 +23,6 @@ STOP_WORDS = (
     "a an and are as at be by for from has have how i in is it of on or our that the this to we "
     "what when which who will with you your do does should"
 ).split()
-SUFFIXES = ("ing", "es", "s")
 MIN_STEM = 4
 # ----------------------------------------------------------------------------
 
@@ -56,16 +55,23 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 
 
+def _without(token: Column, suffix: str) -> tuple[Column, Column]:
+    """Whether a suffix fits and leaves a long enough word, and that word."""
+    left = F.length(token) - F.lit(len(suffix))
+    return token.endswith(suffix) & (left >= MIN_STEM), F.substring(token, F.lit(1), left)
+
+
 def stem(token: Column) -> Column:
-    """Take off the first suffix that fits and leaves a long enough word."""
-    size = F.length(token)
-    out = F.when(token.endswith("ss"), token)
-    for suffix in SUFFIXES:
-        cut = size - F.lit(len(suffix))
-        out = out.when(
-            token.endswith(suffix) & (cut >= MIN_STEM), F.substring(token, F.lit(1), cut)
-        )
-    return out.otherwise(token)
+    """Take off "ing", else "es", else "s" (but not of "ss"), where enough is left.
+
+    Most words end in neither s nor g and are through after two looks at their end.
+    """
+    plural = F.when(*_without(token, "es")).when(*_without(token, "s")).otherwise(token)
+    return (
+        F.when(token.endswith("s"), F.when(token.endswith("ss"), token).otherwise(plural))
+        .when(*_without(token, "ing"))
+        .otherwise(token)
+    )
 
 
 def search_tokens(text: Column) -> Column:

@@ -20,9 +20,8 @@ def _heading(line: Column, mark: str) -> Column:
     return strip(F.substring(line, F.lit(len(mark) + 1), F.length(line)))
 
 
-def _section(part: Column) -> Column:
+def _section(lines: Column) -> Column:
     """What one part of a document says: its own heading, its last title, its body."""
-    lines = _lines(part)
     titles = F.filter(lines, lambda x: x.startswith(TITLE))
     body = F.filter(lines, lambda x: ~x.startswith(TITLE) & ~x.startswith(SECTION))
     first = F.get(lines, F.lit(0))
@@ -45,7 +44,7 @@ def chunk_markdown(documents: DataFrame) -> DataFrame:
     parts = F.split(text, r"\n(?=## )")
     return (
         documents.select(F.col("doc").cast("string").alias("doc"), parts.alias("parts"))
-        .select("doc", F.transform("parts", _section).alias("sections"))
+        .select("doc", F.transform(F.transform("parts", _lines), _section).alias("sections"))
         .select("doc", "sections", _title_starts("sections").alias("starts"))
         .select("doc", F.inline_outer(_with_titles("sections", "starts")))
         .select(
