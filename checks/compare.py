@@ -9,6 +9,7 @@ import math
 import sys
 import time
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 
@@ -21,7 +22,9 @@ TABLES = (
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+        path = Path(folder, f"{name}.parquet")
+        files = f"{path}/*.parquet" if path.is_dir() else path
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{files}'")
     return con
 
 
@@ -58,7 +61,9 @@ def main(folder: str, names: list[str]) -> int:
     from checks.queries import queries
     from tallyhouse.session import build_session
 
-    spark = build_session(master="local[8]", extra={"spark.sql.shuffle.partitions": "8"})
+    spark = build_session(
+        master="local[8]", extra={"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, failed = connect(folder), oracle_sql(), 0
     for name, query in queries().items():

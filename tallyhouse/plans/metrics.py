@@ -33,8 +33,10 @@ def _percent(flag: Column) -> Column:
     return F.round(100.0 * F.avg(F.when(flag, 1).otherwise(0)), 1)
 
 
-def _gbp(amount: str) -> Column:
-    return F.round(F.sum(amount))
+def _gbp(amount: Column) -> Column:
+    """Whole pounds of a sum. Added up exactly: adding doubles gives other last digits in every
+    order of tasks, which tips sums that end in 50 pence either way."""
+    return F.round(F.sum(amount.cast("decimal(24,6)"))).cast("double")
 
 
 def sla_compliance(tickets: DataFrame) -> DataFrame:
@@ -46,10 +48,10 @@ def sla_compliance(tickets: DataFrame) -> DataFrame:
 def kpis(wide: DataFrame, tickets: DataFrame) -> DataFrame:
     """All KPIs as rows (kpi, label, value), from one pass over each table."""
     values = wide.agg(
-        _gbp("monthly_revenue_gbp").alias("monthly_recurring_revenue"),
-        _gbp("overdue_gbp").alias("overdue_debt"),
+        _gbp(F.col("monthly_revenue_gbp")).alias("monthly_recurring_revenue"),
+        _gbp(F.col("overdue_gbp")).alias("overdue_debt"),
         F.count_if(_at_risk()).cast("double").alias("at_risk_accounts"),
-        F.round(F.sum(F.when(_at_risk(), F.col("monthly_revenue_gbp")))).alias("revenue_at_risk"),
+        _gbp(F.when(_at_risk(), F.col("monthly_revenue_gbp"))).alias("revenue_at_risk"),
         F.round(F.avg("avg_csat"), 2).alias("avg_csat"),
     ).withColumn("sla_compliance", sla_compliance(tickets).scalar())
     rows = [
@@ -77,7 +79,7 @@ def kpi_display(kpi_rows: DataFrame) -> DataFrame:
 def revenue_trend(invoices: DataFrame) -> DataFrame:
     return (
         invoices.groupBy(F.col("issued_date").alias("month"), "product")
-        .agg(_gbp("amount_gbp").alias("revenue_gbp"))
+        .agg(_gbp(F.col("amount_gbp")).alias("revenue_gbp"))
         .orderBy(F.asc_nulls_last("month"), F.asc_nulls_last("product"))
     )
 
@@ -96,7 +98,7 @@ def health_by_sector(wide: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("accounts"),
             F.round(F.avg("health_score"), 1).alias("avg_health"),
-            _gbp("monthly_revenue_gbp").alias("mrr_gbp"),
+            _gbp(F.col("monthly_revenue_gbp")).alias("mrr_gbp"),
         )
         .orderBy(F.asc_nulls_last("avg_health"), "sector")
     )
@@ -107,7 +109,7 @@ def account_manager_portfolio(wide: DataFrame) -> DataFrame:
         wide.groupBy("account_manager")
         .agg(
             F.count("*").alias("accounts"),
-            _gbp("monthly_revenue_gbp").alias("mrr_gbp"),
+            _gbp(F.col("monthly_revenue_gbp")).alias("mrr_gbp"),
             F.count_if(_at_risk()).alias("at_risk"),
         )
         .orderBy(F.desc_nulls_last("mrr_gbp"), "account_manager")
@@ -182,6 +184,6 @@ def mrr_by_product(invoices: DataFrame) -> DataFrame:
     return (
         invoices.filter(F.col("issued_date") == latest(invoices, "issued_date"))
         .groupBy("product")
-        .agg(_gbp("amount_gbp").alias("mrr_gbp"))
+        .agg(_gbp(F.col("amount_gbp")).alias("mrr_gbp"))
         .orderBy(F.desc_nulls_last("mrr_gbp"), "product")
     )

@@ -75,6 +75,14 @@ def test_kpis_of_no_accounts_at_risk(marts):
     assert shown["sla_compliance"].shown == "75.0"
 
 
+def test_whole_pounds_do_not_depend_on_the_order_of_rows(spark):
+    assert 0.7 + 0.1 + 0.7 < 1.5 == 0.7 + 0.7 + 0.1
+    for amounts in ([0.7, 0.1, 0.7], [0.7, 0.7, 0.1]):
+        frame = spark.createDataFrame([("p", a) for a in amounts], "product string, amount_gbp double")
+        trend = metrics.revenue_trend(frame.coalesce(1).selectExpr("*", "DATE'2024-01-01' AS issued_date"))
+        assert trend.first().revenue_gbp == 2.0
+
+
 def test_one_row_per_customer_and_bounded_score(spark, small):
     wide = registered.marts(spark, small).table("customer_360")
     n, keys, low, high = wide.selectExpr(
