@@ -75,7 +75,7 @@ def new_actions(hits: DataFrame, log: DataFrame, at: datetime, run: int) -> Data
         "action_key",
         "hit.*",
         F.lit(OPEN).alias("status"),
-        F.lit(at.replace(microsecond=0)).cast("timestamp_ntz").alias("raised_at"),
+        F.lit(at.isoformat(" ", "seconds")).cast("timestamp_ntz").alias("raised_at"),
         F.lit(run).cast("bigint").alias("run"),
     ).select(*COLUMNS)
 
