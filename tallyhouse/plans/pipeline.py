@@ -1,6 +1,6 @@
 """Ingest, marts and rules end to end.
 
-    spark-submit -m tallyhouse.plans.pipeline EXTRACTS OUTPUT
+    python -m tallyhouse.plans.pipeline EXTRACTS OUTPUT
 """
 
 from __future__ import annotations
