@@ -5,9 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from checks import oracle
+from checks import queries as registered
 from checks.compare import connect, difference
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = registered.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
