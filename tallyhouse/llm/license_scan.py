@@ -50,6 +50,7 @@ SENTENCES = {
 #: Licences and the names that must follow one another, the most telling rules first.
 RULES = (
     ("apache-2.0", ("apache2-head", "apache2-use")),
+    ("apache-2.0", ("apache2-use", "apache2-copy")),
     ("apache-2.0", ("apache2-spdx",)),
     ("apache-2.0", ("apache2-short",)),
     ("gpl-3.0", ("gpl3-grant", "gpl-warranty")),
@@ -73,7 +74,7 @@ RULES = (
     ("reserved", ("reserved",)),
 )
 #: Every known sentence holds one of these.
-ANCHORS = ("licens", "permission", "copyright", "redistribut", "warranty", "cc by", "rights reserved")
+ANCHORS = ("licens", "permission", "copyright", "redistribut", "warranty", "reserved")
 
 SENTENCE_END = r"([.!?;])[\x20\x09-\x0D]+"
 BETWEEN_WORDS = r"[^a-z0-9\n]+"
