@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that is worked on at once in a Python worker; a longer text is a batch of its own.
@@ -38,10 +39,10 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_B
         if per_row * batch.num_rows <= limit:
             yield batch
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for row, size in enumerate(sizes):
-            if held and held + size > limit:
+            if row > start and held + size > limit:
                 yield batch.slice(start, row - start)
                 start, held = row, 0
             held += size
