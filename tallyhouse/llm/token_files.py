@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -200,7 +201,7 @@ def with_checksums(records: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            flat, ends = ids.flatten().to_numpy().astype("<u4"), np.cumsum([0, *pa.compute.list_value_length(ids).to_pylist()])
+            flat, ends = ids.flatten().to_numpy().astype("<u4"), np.cumsum([0, *pc.list_value_length(ids).to_pylist()])
             checks = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(checks, pa.int64())],
