@@ -4,7 +4,7 @@ The merges are those of ``byte_pairs``: a segment tree over the ranks of adjacen
 no shuffle, and a worker holds one bounded batch at a time.
 
 Defined results: a null or empty text has no ids; ids that are null decode to an empty text; repeated rows are each
-answered; an empty table gives an empty table. Other columns are left out, whatever their names.
+answered; ids that are null or unknown read as nothing; an empty table gives an empty table. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,28 +13,34 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallyhouse.llm.byte_pairs import load
 from tallyhouse.llm.tasks import bounded, ship, texts
 
+#: Text that is encoded at once, and rows that are decoded at once.
+BATCH_BYTES, ROWS = 2 << 20, 500
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id`` and ``ids``, the token ids of the whole text."""
+
+def encode(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids``, the token ids of the whole text; on request also ``decoded``, the text of the ids."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(vocabulary)
-        for batch in bounded(batches, "text"):
-            coded = pairs.encode_many(texts(batch))
-            ends = np.cumsum([0, *(len(ids) // 4 for ids in coded)], dtype=np.int32)
-            flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "ids"]
-            )
+        for batch in bounded(batches, "text", BATCH_BYTES):
+            ids, counts = pairs.encode_flat(texts(batch))
+            lists = pa.ListArray.from_arrays(np.cumsum(np.r_[0, counts], dtype=np.int32), pa.array(ids.view(np.int32)))
+            columns = {"doc_id": batch.column("doc_id"), "ids": lists}
+            if decoded:
+                columns["decoded"] = pa.array(pairs.decode_flat(ids, counts), pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded
+    )
 
 
 def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
@@ -44,13 +50,13 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(vocabulary)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                decoded = [pairs.decode(ids or []) for ids in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.string())],
-                    ["doc_id", "ids", "decoded"],
-                )
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                lists = batch.column("ids")
+                ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                decoded = pa.array(pairs.decode_flat(ids, counts), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

@@ -18,18 +18,23 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: How this vocabulary cuts text into pre-tokens. Fixed value.
 PRE_TOKEN = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
-#: Pre-tokens, and pieces between spaces, whose ids a worker remembers; beyond it starts anew. Only speed depends on it.
-REMEMBERED = 600_000
+#: A worker remembers the ids of so many pre-tokens and pieces between spaces, and as many before them. Only speed depends on it.
+REMEMBERED = 100_000
 #: Pre-tokens of at most so many bytes are merged side by side.
 SHORT = 65
 
 _NONE = 1 << 62
+#: In trees of short words: leaves are ranks and places in 32 bits.
+_PLACE_BITS = 7
+_SHORT_NONE = np.int32(1 << 30)
 _NO_SYMBOL = (1 << 20) - 1
 _SPACE_AHEAD = re.compile(r" (?=\s|$)")
 
@@ -41,27 +46,137 @@ def byte_letters() -> dict[str, int]:
     return {chr(byte): byte for byte in printable} | {chr(256 + i): byte for i, byte in enumerate(others)}
 
 
-class BytePairs:
+class Memo:
+    """Values of recently used keys: those of this generation and of the one before. Keys that were asked for stay at
+    least until ``forget``, which starts a new generation once this one is full."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """The keys that have no value; the others are brought into this generation."""
+        lacking, old = keys.difference(self.new), self.old
+        if not old:
+            return lacking
+        kept = lacking.intersection(old)
+        self.new.update((key, old[key]) for key in kept)
+        return lacking - kept
+
+
+class Pieces:
+    """Texts to ids by way of their different pieces, whose ids a subclass gives."""
+
+    def __init__(self, special: dict[str, int], remembered: int = REMEMBERED):
+        self.special = special
+        self.split_special = (
+            re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        )
+        self._known = Memo(remembered)
+
+    def _coded(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
+        """The ids of different pre-tokens as unsigned 32-bit integers."""
+        raise NotImplementedError
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """The ids of strings that start and end where pre-tokens do."""
+        memo, parted = self._known, {}
+        if self._has_special("\n".join(units)):
+            parted = {unit: self._with_special(unit) for unit in units if self._has_special(unit)}
+        memo.forget()
+        cut, words = {}, set()
+        for unit in memo.unknown(set(units).difference(parted)):
+            if not (unit.isascii() and unit.isalpha()):
+                parts = PRE_TOKEN.findall(unit)
+                if len(parts) != 1:
+                    cut[unit] = parts
+                    words.update(parts)
+                    continue
+            words.add(unit)
+        memo.new.update(self._coded(list(memo.unknown(words))))
+        known = memo.new
+        known.update([(unit, b"".join([known[word] for word in parts])) for unit, parts in cut.items()])
+        return [parted[unit] if unit in parted else known[unit] for unit in units] if parted else [known[unit] for unit in units]
+
+    def _has_special(self, text: str) -> bool:
+        for token in self.special:
+            if token in text:
+                return True
+        return False
+
+    def _with_special(self, text: str) -> bytes:
+        """The ids of a text with special tokens in it."""
+        parts = [part for part in self.split_special.split(text) if part]
+        plain = [part for part in dict.fromkeys(parts) if part not in self.special]
+        ids = dict(zip(plain, self._units(plain)))
+        return b"".join(ids[part] if part in ids else array("I", [self.special[part]]).tobytes() for part in parts)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has.
+
+        A space between two visible characters always starts a pre-token, so texts are cut there, and each
+        different piece is looked up once. Where more white space follows a space, or a special token stands, that
+        holds no longer: such a text is one piece.
+        """
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        whole = [bool(_SPACE_AHEAD.search(text)) or self._has_special(text) for text in texts]
+        lists = pc.split_pattern(pa.array(["" if odd else text for odd, text in zip(whole, texts)], pa.string()), " ")
+        starts = np.asarray(lists.offsets)[:-1]
+        coded = lists.flatten().dictionary_encode()
+        heads = [text if odd else text.split(" ", 1)[0] for odd, text in zip(whole, texts)]
+        place = {head: i for i, head in enumerate(dict.fromkeys(heads))}
+        pieces = coded.dictionary.to_pylist()
+        units = [" " + piece for piece in pieces]
+        codes = np.array(coded.indices)
+        codes[starts] = np.array([place[head] for head in heads]) + len(units)
+        ids = self._units(units + list(place))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        each = length[codes]
+        return _gathered(flat, (np.cumsum(length) - length)[codes], each), np.add.reduceat(each, starts)
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        flat, counts = self.encode_flat(texts)
+        return np.split(flat, np.cumsum(counts)[:-1]) if texts else []
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_flat([text])[0].tolist()
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return self.encode_flat(texts)[1].tolist()
+
+    def leaf_counts(self, cuts: list[list[str]]) -> list[list[int]]:
+        """Token counts of the leaves of texts; leaves start and end where pre-tokens do."""
+        coded = pa.array([leaf for leaves in cuts for leaf in leaves], pa.string()).dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        counts = np.array([len(ids) // 4 for ids in self._units(units)], np.int64)
+        each = counts[np.asarray(coded.indices)] if units else np.zeros(0, np.int64)
+        ends = np.cumsum([0, *map(len, cuts)]).tolist()
+        return [each[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+class BytePairs(Pieces):
     """One vocabulary: texts to ids and back."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        letters, vocabulary, model = byte_letters(), content["model"]["vocab"], content["model"]
+        super().__init__({token["content"]: token["id"] for token in content["added_tokens"]})
+        letters, vocabulary = byte_letters(), content["model"]["vocab"]
         self.of_byte = [0] * 256
         for letter, byte in letters.items():
             self.of_byte[byte] = vocabulary[letter]
         self.rank: dict[int, int] = {}
         self.made: list[int] = []
-        for rank, (left, right) in enumerate(model["merges"]):
+        for rank, (left, right) in enumerate(content["model"]["merges"]):
             self.rank[vocabulary[left] << 20 | vocabulary[right]] = rank
             self.made.append(vocabulary[left + right])
-        self.special = {token["content"]: token["id"] for token in content["added_tokens"]}
-        self.split_special = (
-            re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-            if self.special
-            else None
-        )
         self.bytes_of = [b""] * (1 + max([*vocabulary.values(), *self.special.values()]))
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(letters[c] for c in token)
@@ -69,10 +184,11 @@ class BytePairs:
             self.bytes_of[i] = token.encode()
         pairs = np.fromiter(self.rank, np.int64, len(self.rank))
         order = np.argsort(pairs)
-        self._pairs, self._ranks = pairs[order], np.arange(len(pairs), dtype=np.int64)[order]
-        self._made, self._of_byte = np.array(self.made, np.int64), np.array(self.of_byte, np.int64)
-        self._word: dict[str, bytes] = {}
-        self._piece: dict[str, bytes] = {}
+        self._pairs, self._ranks = pairs[order], np.arange(len(pairs), dtype=np.int32)[order] << _PLACE_BITS
+        self._made, self._of_byte = np.array(self.made, np.int32), np.array(self.of_byte, np.int32)
+        lengths = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self._token_bytes, self._token_length = np.frombuffer(b"".join(self.bytes_of), np.uint8), lengths
+        self._token_start = np.cumsum(lengths) - lengths
 
     def __len__(self) -> int:
         return len(self.bytes_of)
@@ -127,20 +243,20 @@ class BytePairs:
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Leaves for pairs of symbols at given places."""
-        pairs = left << 20 | right
+        pairs = left.astype(np.int64) << 20 | right
         found = np.searchsorted(self._pairs, pairs)
         found[found == len(self._pairs)] = 0
-        return np.where(self._pairs[found] == pairs, self._ranks[found] << 32 | at, _NONE)
+        return np.where(self._pairs[found] == pairs, self._ranks[found] | at.astype(np.int32), _SHORT_NONE)
 
     def _merge_side_by_side(self, words: list[bytes], leaves: int) -> list[bytes]:
         """Ids of words of 2 to ``leaves`` + 1 bytes (a power of two, plus one), as 32-bit integers."""
         n, width = len(words), leaves + 1
         lengths = np.fromiter(map(len, words), np.int64, n)
         data = np.frombuffer(b"".join(word.ljust(width, b"\0") for word in words), np.uint8).reshape(n, width)
-        places = np.arange(width + 1)
-        symbols = np.full((n, width + 1), _NO_SYMBOL)
+        places = np.arange(width + 1, dtype=np.int32)
+        symbols = np.full((n, width + 1), _NO_SYMBOL, np.int32)
         symbols[:, :width] = np.where(places[:width] < lengths[:, None], self._of_byte[data], _NO_SYMBOL)
-        tree = np.full((n, 2 * leaves), _NONE)
+        tree = np.full((n, 2 * leaves), _SHORT_NONE)
         tree[:, leaves:] = self._rank_of(symbols[:, :leaves], symbols[:, 1:width], places[:leaves])
         level = leaves
         while level > 1:
@@ -148,41 +264,45 @@ class BytePairs:
             level //= 2
         after = np.broadcast_to(places + 1, (n, width + 1)).copy()
         before = np.broadcast_to(places - 1, (n, width + 1)).copy()
+        flat = tree.reshape(-1)
 
         def put(rows: np.ndarray, leaf: np.ndarray, value: np.ndarray | int) -> None:
-            node = leaves + leaf
-            tree[rows, node] = value
+            node = rows * (2 * leaves) + (leaves + leaf)
+            low = rows * (2 * leaves)
+            flat[node] = value
+            at = leaves + leaf
             for _ in range(leaves.bit_length() - 1):
-                up = node >> 1
-                tree[rows, up] = np.minimum(tree[rows, node], tree[rows, node ^ 1])
-                node = up
+                lesser = np.minimum(flat[node], flat[node ^ 1])
+                at = at >> 1
+                node = low + at
+                flat[node] = lesser
 
-        rows = np.flatnonzero(tree[:, 1] != _NONE)
+        rows = np.flatnonzero(tree[:, 1] != _SHORT_NONE)
         while len(rows):
             root = tree[rows, 1]
-            at = root & 0xFFFFFFFF
+            at = root & ((1 << _PLACE_BITS) - 1)
             gone = after[rows, at]
             end = after[rows, gone]
             after[rows, at], before[rows, end] = end, at
-            symbol = self._made[root >> 32]
+            symbol = self._made[root >> _PLACE_BITS]
             symbols[rows, at], symbols[rows, gone] = symbol, -1
             put(rows, at, self._rank_of(symbol, symbols[rows, end], at))
             inner = gone < leaves
-            put(rows[inner], gone[inner], _NONE)
+            put(rows[inner], gone[inner], _SHORT_NONE)
             inner = at > 0
             some, start = rows[inner], before[rows[inner], at[inner]]
             put(some, start, self._rank_of(symbols[some, start], symbol[inner], start))
-            rows = rows[tree[rows, 1] != _NONE]
+            rows = rows[tree[rows, 1] != _SHORT_NONE]
         live = (symbols >= 0) & (symbols < _NO_SYMBOL)
         ends = np.cumsum(live.sum(1)) * 4
-        flat = symbols[live].astype(np.uint32).tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        ids = symbols[live].astype(np.uint32).tobytes()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-    def _learn_words(self, words: Iterable[str]) -> None:
-        """Merge pre-tokens that are not remembered yet."""
+    def _coded(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
+        """The ids of different pre-tokens."""
         by_size: dict[int, list[str]] = {}
         for word in words:
-            size = len(word.encode())
+            size = len(word) if word.isascii() else len(word.encode())
             by_size.setdefault(1 << (size - 2).bit_length() if 2 <= size <= SHORT else 0, []).append(word)
         for leaves, some in by_size.items():
             for start in range(0, len(some), 20_000):
@@ -193,84 +313,18 @@ class BytePairs:
                     if leaves
                     else [array("I", self.merge(word)).tobytes() for word in coded]
                 )
-                self._word.update(zip(part, made))
+                yield from zip(part, made)
 
-    def _words(self, words: list[str]) -> bytes:
-        known = self._word
-        try:
-            return b"".join([known[word] for word in words])
-        except KeyError:
-            self._learn_words({word for word in words if word not in known})
-            return b"".join([known[word] for word in words])
-
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        if len(self._word) > REMEMBERED:
-            self._word.clear()
-        cut = {piece: PRE_TOKEN.findall(" " + piece) for piece in pieces}
-        new = set().union(*cut.values())
-        self._learn_words(new.difference(self._word))
-        known = self._word
-        self._piece.update((piece, b"".join([known[word] for word in words])) for piece, words in cut.items())
-
-    def _plain(self, text: str) -> list[str]:
-        """The pieces of a text without special tokens; the first starts it, the others follow a space each.
-
-        A space between two visible characters always starts a pre-token, so what lies between such spaces
-        is looked up whole. Where more white space follows a space, that holds no longer: one piece.
-        """
-        return [text] if not text or _SPACE_AHEAD.search(text) else text.split(" ")
-
-    def encode_many(self, texts: Iterable[str]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit integers in the machine's order."""
-        plain = [
-            [(part, self._plain(part)) for part in self.split_special.split(text)]
-            if self.split_special and any(token in text for token in self.special)
-            else [("", self._plain(text))]
-            for text in texts
-        ]
-        if len(self._piece) > REMEMBERED:
-            self._piece.clear()
-        pieces: set[str] = set()
-        for parts in plain:
-            for _, some in parts:
-                pieces.update(some[1:])
-        self._learn_pieces(pieces.difference(self._piece))
-        known, out = self._piece, []
-        for parts in plain:
-            coded = []
-            for part, some in parts:
-                if part in self.special:
-                    coded.append(array("I", [self.special[part]]).tobytes())
-                else:
-                    coded.append(self._words(PRE_TOKEN.findall(some[0])))
-                    coded += [known[piece] for piece in some[1:]]
-            out.append(b"".join(coded))
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        return array("I", self.encode_many([text])[0]).tolist()
-
-    def counts(self, texts: Iterable[str]) -> list[int]:
-        return [len(ids) // 4 for ids in self.encode_many(texts)]
-
-    def leaf_counts(self, cuts: list[list[str]]) -> list[list[int]]:
-        """Token counts of the leaves of texts; leaves must start where pre-tokens start."""
-        plain: set[str] = set().union(*(leaves[1:] for leaves in cuts))
-        simple = {leaf[1:] for leaf in plain if leaf[0] == " " and not _SPACE_AHEAD.search(leaf) and not self._has_special(leaf)}
-        if len(self._piece) > REMEMBERED:
-            self._piece.clear()
-        self._learn_pieces(simple.difference(self._piece))
-        known, out = self._piece, []
-        for leaves in cuts:
-            counts = [len(known[leaf[1:]]) // 4 if leaf[1:] in known and leaf[0] == " " else -1 for leaf in leaves]
-            rest = [at for at, count in enumerate(counts) if count < 0]
-            for at, count in zip(rest, self.counts([leaves[at] for at in rest])):
-                counts[at] = count
-            out.append(counts)
-        return out
-
-    def _has_special(self, text: str) -> bool:
-        return any(token in text for token in self.special)
+    def decode_flat(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids that stand one after the other, ``counts`` for each text."""
+        fine = (ids >= 0) & (ids < len(self.bytes_of))
+        if not fine.all():
+            keys = np.repeat(np.arange(len(counts)), counts)[fine]
+            ids, counts = ids[fine], np.bincount(keys, minlength=len(counts))
+        each = self._token_length[ids]
+        data = _gathered(self._token_bytes, self._token_start[ids], each).tobytes()
+        ends = np.cumsum(np.r_[0, each])[np.cumsum(np.r_[0, counts])].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 read as the replacement character, unknown ids as nothing."""
@@ -281,6 +335,13 @@ class BytePairs:
             return b"".join([known[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
 
 
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` with the given starts and lengths, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> BytePairs:
     """The vocabulary at ``path``, read once in each process."""

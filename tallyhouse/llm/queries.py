@@ -52,8 +52,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of documents."""
-    coded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
-    return coded.select(
+    return bpe.encode(docs, VOCABULARY, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

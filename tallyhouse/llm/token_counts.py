@@ -137,7 +137,7 @@ def token_counts(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(vocabulary)
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 2 << 20):
             cuts = [cut(text) for text in texts(batch)]
             counts = pairs.leaf_counts(cuts)
             edits = batch.column("edits").to_pylist() if given else [None] * len(cuts)

@@ -36,41 +36,50 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.byte_pairs import REMEMBERED, BytePairs
+from tallyhouse.llm.byte_pairs import Pieces
 from tallyhouse.llm.tasks import bounded, ship, texts
 
+#: Pre-tokens and pieces whose ids a worker remembers, and pre-tokens that the library encodes at once.
+REMEMBERED, LINES = 180_000, 1000
 MASK_DELTA = 0xA282EAD8
 ENTRY = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("has_id", "<u1"), ("n_tokens", "<u4")])
 MANIFEST = "shard int, name string, documents long, tokens long, width int"
 
 
-class LibraryPairs(BytePairs):
-    """Texts to ids by the tokenizers library; what lies between two spaces is encoded once and remembered."""
+class LibraryPairs(Pieces):
+    """Texts to ids by the tokenizers library, which encodes each different pre-token once; the rest is remembered."""
 
     def __init__(self, path: str):
-        super().__init__(path)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def by_library(self, texts: list[str]) -> list[bytes]:
-        coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, np.uint32).tobytes() for one in coded]
-
-    def encode_many(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [[text] if self._has_special(text) else self._plain(text) for text in texts]
-        if len(self._piece) > REMEMBERED:
-            self._piece.clear()
-        known = self._piece
-        new = list(set().union(*(pieces[1:] for pieces in cut)).difference(known))
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            known.update(zip(part, self.by_library([" " + piece for piece in part])))
-        heads = self.by_library([pieces[0] for pieces in cut])
-        return [head + b"".join([known[piece] for piece in pieces[1:]]) for head, pieces in zip(heads, cut)]
+        special = {token.content: i for i, token in self.library.get_added_tokens_decoder().items()}
+        super().__init__(special, REMEMBERED)
+        self.line_end = self._ids(["\n"])[0].tolist()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(one.ids, np.uint32) for one in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __len__(self) -> int:
+        return self.library.get_vocab_size(with_added_tokens=True)
+
+    def _coded(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Many words are one text for the library, a line each; a line end is a token of its own between visible words."""
+        visible = [word for word in words if "\n" not in word and not word.isspace()]
+        for start in range(0, len(visible), LINES):
+            part = visible[start : start + LINES]
+            ids = self._ids(["\n".join(part)])[0]
+            at = np.flatnonzero(ids == self.line_end[0])
+            if len(self.line_end) == 1 and len(at) == len(part) - 1:
+                data, ends = ids.tobytes(), np.r_[at, len(ids)].tolist()
+                yield from ((word, data[4 * a : 4 * b]) for word, a, b in zip(part, [0, *(at + 1).tolist()], ends))
+            else:
+                yield from zip(part, (one.tobytes() for one in self._ids(part)))
+        rest = list(set(words).difference(visible))
+        yield from zip(rest, (one.tobytes() for one in self._ids(rest)))
 
 
 @lru_cache(maxsize=2)
@@ -112,10 +121,10 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, name = library(vocabulary), f"shard-{uuid.uuid4().hex}"
         width = 2 if max(len(pairs), end_id + 1) <= 1 << 16 else 4
-        end = np.uint32(end_id).tobytes()
+        end = np.uint32(end_id)
         rows = tokens = offset = 0
         store = records = index = None
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 3 << 20):
             if records is None:
                 store, top = _opened(folder)
                 store.create_dir(top, recursive=True)
@@ -123,7 +132,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
                 index = store.open_output_stream(f"{top}/{name}.index")
             entries = np.zeros(batch.num_rows, ENTRY)
             for at, (doc_id, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), pairs.encode_many(texts(batch)))):
-                whole = np.frombuffer(ids + end, np.uint32)
+                whole = np.append(ids, end)
                 framed = frame(whole.astype(f"<u{width}").tobytes())
                 entries[at] = (offset, doc_id or 0, doc_id is not None, len(whole))
                 records.write(framed)

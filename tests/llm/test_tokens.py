@@ -45,6 +45,17 @@ def test_segment_tree_merges_as_the_library(library):
     for text in odd_texts(2000):
         assert pairs.encode(text) == ids(library, text), repr(text)
         assert pairs.decode(ids(library, text)) == library.decode(ids(library, text), skip_special_tokens=False)
+    texts = odd_texts(2000)
+    assert [some.tolist() for some in pairs.encode_many(texts)] == [ids(library, text) for text in texts]
+    every = [ids(library, text)[:-1] for text in texts]  # some end within a character
+    got = pairs.decode_flat(np.array(sum(every, [])), np.array(list(map(len, every))))
+    assert got == [library.decode(some, skip_special_tokens=False) for some in every]
+
+
+def test_files_use_the_library(library):
+    pairs = token_files.library(queries.VOCABULARY)
+    texts = odd_texts(1000)
+    assert [some.tolist() for some in pairs.encode_many(texts)] == [ids(library, text) for text in texts]
 
 
 def test_one_by_one_and_side_by_side_agree():
@@ -71,10 +82,12 @@ def test_encode_and_decode(spark, library, docs):
     rows = bpe.decode(bpe.encode(docs, queries.VOCABULARY), queries.VOCABULARY).collect()
     want = sorted((str(r[0]), ids(library, r[1]), r[1] or "") for r in awkward())
     assert sorted((str(r.doc_id), r.ids, r.decoded) for r in rows) == want
+    both = bpe.encode(docs, queries.VOCABULARY, decoded=True).collect()
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in both) == want
 
 
 def test_decode_of_null_ids_and_empty_table(spark, docs):
-    some = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    some = spark.createDataFrame([(1, None), (2, []), (3, [None, -1, 1 << 30])], "doc_id long, ids array<int>")
     assert {r.decoded for r in bpe.decode(some, queries.VOCABULARY).collect()} == {""}
     assert bpe.encode(docs.limit(0), queries.VOCABULARY).collect() == []
 
