@@ -53,7 +53,7 @@ class Store:
 
     def write_all(self, frames: dict[str, DataFrame], name: str = "{}") -> dict[str, DataFrame]:
         """Write independent tables side by side, so one's last tasks overlap the next's first."""
-        with ThreadPoolExecutor(len(frames)) as pool:
+        with ThreadPoolExecutor(max(1, len(frames))) as pool:
             written = pool.map(self.write, (name.format(key) for key in frames), frames.values())
             return dict(zip(frames, written))
 
