@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.sources.files import spread
 
 PRODUCTS = (
     "Broadband",
@@ -16,6 +15,16 @@ PRODUCTS = (
     "Rack Space",
 )
 CATEGORIES = ("Network", "Telephony", "Email", "Hardware", "Access", "Billing", "Other")
+# What user turns open with: nothing, one of the five intents, or two of them.
+OPENINGS = (
+    "",
+    "Any churn to fear? ",
+    "Who owes us money? ",
+    "Is support on time? ",
+    "What is our revenue? ",
+    "Show the portfolio. ",
+    "Churn and unpaid: ",
+)
 NO_SUCH_CUSTOMER = "CUST9999999999"
 
 
@@ -32,8 +41,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table whose rows take much work, on all cores."""
-    return spread(table(spark, folder, name).select(*columns))
+    """Columns of a table whose rows take much work, in many tasks: a test table is one row group."""
+    return table(spark, folder, name).select(*columns).repartition(F.col(columns[0]))
 
 
 def crm(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +81,7 @@ def billing(spark: SparkSession, folder: str, dirty: bool) -> DataFrame:
     orders = spread_table(
         spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
     )
-    return orders.filter(F.col("o_orderdate") < F.lit("2001-07-01").cast("timestamp_ntz")).select(
+    return orders.select(
         F.concat(F.lit("INV"), key.cast("string")).alias("invoice_no"),
         customer.alias("cust_ref"),
         _pick(PRODUCTS, key % len(PRODUCTS)).alias("product_line"),
@@ -127,6 +136,15 @@ def network(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def user_questions(spark: SparkSession, folder: str) -> DataFrame:
+    turns = spread_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    opening = _pick(OPENINGS, (F.col("conv_id") + F.col("turn")) % len(OPENINGS))
+    return turns.filter(F.col("role") == "user").select(
+        F.concat_ws("/", "conv_id", "turn").alias("question_id"),
+        F.concat(opening, "text").alias("question"),
+    )
+
+
 def extracts(spark: SparkSession, folder: str, dirty: bool = False) -> dict[str, DataFrame]:
     """All four extracts; ``dirty`` plants unreadable amounts, bad keys and orphans."""
     return {

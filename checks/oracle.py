@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.extracts import CATEGORIES, NO_SUCH_CUSTOMER, PRODUCTS
+from checks.extracts import CATEGORIES, NO_SUCH_CUSTOMER, OPENINGS, PRODUCTS
 from tallyhouse.functions.text import BLANKS, EMAIL, STOP_WORDS, UK_PHONE
 from tallyhouse.plans.metrics import KPI_LABELS
 from tallyhouse.plans.questions import INTENTS, PASSAGE_CHARS
@@ -34,12 +34,12 @@ ORDERS = f"""billing AS (
                  ELSE printf('CUST%04d', o_custkey) END AS dirty_ref,
          'INV' || o_orderkey AS invoice_id,
          {_list(PRODUCTS)}[o_orderkey % {len(PRODUCTS)} + 1] AS product,
-         floor(o_totalprice) / 100 AS amount_gbp,
+         CAST(floor(o_totalprice) AS BIGINT) AS pence, pence / 100 AS amount_gbp,
          CAST(date_trunc('quarter', o_orderdate) AS DATE) AS issued_date,
          CASE WHEN o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '2000-07-01' THEN NULL
               ELSE CAST(date_trunc('quarter', o_orderdate) AS DATE)
                    + CAST(5 + o_orderkey % 60 AS INT) END AS paid_date
-  FROM orders WHERE o_orderdate < TIMESTAMP '2001-07-01')"""
+  FROM orders)"""
 
 ERRORS = f"""desk AS (
   SELECT event_id AS ticket_id, user_id, 'P' || (event_id % 4 + 1) AS priority,
@@ -62,7 +62,7 @@ USAGE = """fact_usage AS (
   FROM events GROUP BY 1, 2)"""
 
 INVOICES = f"""{ORDERS}, fact_invoice AS (
-  SELECT invoice_id, printf('C-%04d', o_custkey) AS customer_id, product, amount_gbp,
+  SELECT invoice_id, printf('C-%04d', o_custkey) AS customer_id, product, pence, amount_gbp,
          issued_date, paid_date, date_diff('day', issued_date, paid_date) AS days_to_pay,
          CASE WHEN paid_date IS NULL THEN date_diff('day', issued_date,
            (SELECT max(issued_date) + 30 FROM billing)) END AS days_outstanding
@@ -76,16 +76,19 @@ TICKETS = f"""{ERRORS}, timed AS (
          resolution_hours, sla_hours, coalesce(resolution_hours > sla_hours, FALSE) AS sla_breached, csat_score
   FROM timed)"""
 
+# Money is counted in whole pence, so no sum depends on the order of its rows.
 REVENUE = """revenue AS (
-  SELECT customer_id, sum(amount_gbp) AS monthly_revenue_gbp, count(DISTINCT product) AS product_count
-  FROM fact_invoice WHERE issued_date = (SELECT max(issued_date) FROM fact_invoice) GROUP BY 1)"""
+  SELECT customer_id, sum(pence) AS revenue_pence, count(DISTINCT product) AS product_count
+  FROM (FROM fact_invoice QUALIFY dense_rank() OVER (ORDER BY issued_date DESC) = 1) GROUP BY ALL)"""
 DEBT = """debt AS (
-  SELECT customer_id, sum(amount_gbp) AS overdue_gbp
-  FROM fact_invoice WHERE paid_date IS NULL AND days_outstanding > 45 GROUP BY 1)"""
-RECENT_TICKETS = """recent AS (
-  SELECT customer_id, count(*) AS tickets_90d,
-         CAST(sum(CAST(sla_breached AS INT)) AS BIGINT) AS sla_breaches_90d, avg(csat_score) AS avg_csat
-  FROM fact_ticket WHERE opened_at >= (SELECT max(opened_at) FROM fact_ticket) - INTERVAL 90 DAY GROUP BY 1)"""
+  SELECT customer_id, sum(pence) AS overdue_pence FROM fact_invoice WHERE days_outstanding > 45 GROUP BY ALL)"""
+NEWEST = """in_window AS (
+  SELECT t.* FROM fact_ticket t
+  JOIN (SELECT max(opened_at) - INTERVAL 90 DAY AS since FROM fact_ticket) ON opened_at >= since)"""
+RECENT_TICKETS = f"""{NEWEST}, recent AS (
+  SELECT customer_id, count(*) AS tickets_90d, count(*) FILTER (sla_breached) AS sla_breaches_90d,
+         avg(csat_score) AS avg_csat
+  FROM in_window GROUP BY ALL)"""
 TREND = """trend AS (
   SELECT customer_id,
          CAST(coalesce(sum(outage_minutes) FILTER (month > last - INTERVAL 3 MONTH), 0) AS BIGINT)
@@ -98,21 +101,23 @@ MARTS = f"{CRM}, {INVOICES}, {TICKETS}, {USAGE}, {REVENUE}, {DEBT}, {RECENT_TICK
 DIM_COLUMNS = "customer_id, company_name, sector, town, account_manager, customer_since, seats"
 WIDE = f"""{MARTS}, points AS (
   SELECT {DIM_COLUMNS},
-         coalesce(monthly_revenue_gbp, 0) AS monthly_revenue_gbp, coalesce(product_count, 0) AS product_count,
-         coalesce(overdue_gbp, 0) AS overdue_gbp, coalesce(tickets_90d, 0) AS tickets_90d,
+         coalesce(r.revenue_pence, 0) AS revenue_pence, coalesce(r.revenue_pence, 0) / 100 AS monthly_revenue_gbp,
+         coalesce(product_count, 0) AS product_count,
+         coalesce(d.overdue_pence, 0) AS overdue_pence, coalesce(d.overdue_pence, 0) / 100 AS overdue_gbp, coalesce(tickets_90d, 0) AS tickets_90d,
          coalesce(sla_breaches_90d, 0) AS sla_breaches_90d, avg_csat,
          coalesce(outage_minutes_3m, 0) AS outage_minutes_3m, coalesce(data_growth_pct, 0) AS data_growth_pct,
          CAST(6 * coalesce(sla_breaches_90d, 0) AS DOUBLE) AS breach_points,
-         least(20.0, coalesce(overdue_gbp, 0) / 250) AS debt_points,
+         least(20.0, coalesce(d.overdue_pence, 0) / 100 / 250) AS debt_points,
          CAST(least(20.0, coalesce(outage_minutes_3m, 0) / 20) AS DOUBLE) AS outage_points,
          coalesce((5 - avg_csat) * 6, 0) AS csat_points,
          least(10.0, greatest(-15.0, coalesce(data_growth_pct, 0) / 3)) AS growth_points
-  FROM dim_customer LEFT JOIN revenue USING (customer_id) LEFT JOIN debt USING (customer_id)
+  FROM dim_customer LEFT JOIN revenue r USING (customer_id) LEFT JOIN debt d USING (customer_id)
        LEFT JOIN recent USING (customer_id) LEFT JOIN trend USING (customer_id)),
 customer_360 AS (
   SELECT *, greatest(0.0, least(100.0, 100 - breach_points - debt_points - outage_points - csat_points
                                        + growth_points)) AS health_score
-  FROM points)"""
+  FROM points),
+at_risk AS (FROM customer_360 WHERE health_score < 40)"""
 
 DIRTY = f"""{CRM}, {ORDERS}, {ERRORS}, {USAGE}, dirty_invoice AS (
   SELECT *, regexp_extract(dirty_ref, '^CUST(\\d+)$', 1) AS number,
@@ -235,15 +240,17 @@ def _profile(table: str, columns: list[str]) -> str:
 
 
 def _mart_sql() -> dict[str, str]:
-    ticket_columns = (
-        "ticket_id, customer_id, priority, category, opened_at, resolved_at, resolution_hours, "
-        "sla_hours, sla_breached, csat_score"
-    )
-    profile = (
-        _profile("dim_customer", DIM_COLUMNS.split(", "))
-        + " UNION ALL "
-        + _profile("fact_ticket", ticket_columns.split(", "))
-    )
+    columns = {
+        "dim_customer": DIM_COLUMNS,
+        "fact_invoice": "invoice_id, customer_id, product, amount_gbp, issued_date, paid_date, days_to_pay, "
+        "days_outstanding",
+        "fact_ticket": "ticket_id, customer_id, priority, category, opened_at, resolved_at, resolution_hours, "
+        "sla_hours, sla_breached, csat_score",
+        "fact_usage": "customer_id, month, voice_minutes, data_gb, outage_minutes",
+        "customer_360": f"{DIM_COLUMNS}, monthly_revenue_gbp, product_count, overdue_gbp, tickets_90d, "
+        "sla_breaches_90d, avg_csat, outage_minutes_3m, data_growth_pct, health_score",
+    }
+    profile = " UNION ALL ".join(_profile(table, names.split(", ")) for table, names in columns.items())
     since = "CAST(customer_since AS VARCHAR) AS customer_since"
     return {
         "dim_customer": _with(
@@ -252,7 +259,7 @@ def _mart_sql() -> dict[str, str]:
         ),
         "fact_invoice": _with(
             INVOICES,
-            """SELECT * REPLACE (CAST(issued_date AS VARCHAR) AS issued_date,
+            """SELECT * EXCLUDE (pence) REPLACE (CAST(issued_date AS VARCHAR) AS issued_date,
               CAST(paid_date AS VARCHAR) AS paid_date, round(amount_gbp, 4) AS amount_gbp,
               CAST(days_to_pay AS DOUBLE) AS days_to_pay, CAST(days_outstanding AS DOUBLE) AS days_outstanding)
             FROM fact_invoice""",
@@ -269,13 +276,13 @@ def _mart_sql() -> dict[str, str]:
             """SELECT * REPLACE (CAST(month AS VARCHAR) AS month, round(data_gb, 4) AS data_gb)
             FROM fact_usage""",
         ),
-        "pii_minimised_schema": _with(f"{CRM}, {TICKETS}", profile),
+        "pii_minimised_schema": _with(WIDE, profile),
         "revenue_rollup": _with(
             f"{INVOICES}, {REVENUE}",
-            """SELECT * REPLACE (round(monthly_revenue_gbp, 4) AS monthly_revenue_gbp) FROM revenue""",
+            "SELECT customer_id, revenue_pence / 100 AS monthly_revenue_gbp, product_count FROM revenue",
         ),
         "overdue_debt_by_customer": _with(
-            f"{INVOICES}, {DEBT}", "SELECT customer_id, round(overdue_gbp, 4) AS overdue_gbp FROM debt"
+            f"{INVOICES}, {DEBT}", "SELECT customer_id, overdue_pence / 100 AS overdue_gbp FROM debt"
         ),
         "ticket_rollup_90d": _with(
             f"{TICKETS}, {RECENT_TICKETS}",
@@ -300,26 +307,31 @@ def _mart_sql() -> dict[str, str]:
     }
 
 
-SLA_KPI = """SELECT round(100.0 * avg(CASE WHEN sla_breached THEN 0 ELSE 1 END), 1) AS sla_compliance
-  FROM fact_ticket WHERE opened_at >= (SELECT max(opened_at) FROM fact_ticket) - INTERVAL 90 DAY"""
+def _pounds(pence: str) -> str:
+    """Whole pounds; fifty pence go up."""
+    return f"CAST(({pence} + 50) // 100 AS DOUBLE)"
 
-_KPI_VALUES = {
-    "monthly_recurring_revenue": "SELECT round(sum(monthly_revenue_gbp)) FROM customer_360",
-    "overdue_debt": "SELECT round(sum(overdue_gbp)) FROM customer_360",
-    "sla_compliance": SLA_KPI,
-    "at_risk_accounts": "SELECT CAST(count(*) AS DOUBLE) FROM customer_360 WHERE health_score < 40",
-    "revenue_at_risk": "SELECT round(sum(monthly_revenue_gbp)) FROM customer_360 WHERE health_score < 40",
-    "avg_csat": "SELECT round(avg(avg_csat), 2) FROM customer_360",
-}
-KPI_ROWS = " UNION ALL ".join(
-    f"SELECT '{kpi}' AS kpi, {_quoted(label)} AS label, CAST(({_KPI_VALUES[kpi]}) AS DOUBLE) AS value"
-    for kpi, label in KPI_LABELS.items()
-)
 
-PERCENT = "round(100.0 * avg(CASE WHEN sla_breached THEN 1 ELSE 0 END), 1)"
-PORTFOLIO = """SELECT account_manager, count(*) AS accounts, round(sum(monthly_revenue_gbp)) AS mrr_gbp,
-  CAST(sum(CASE WHEN health_score < 40 THEN 1 ELSE 0 END) AS BIGINT) AS at_risk
-  FROM customer_360 GROUP BY 1 ORDER BY mrr_gbp DESC, 1"""
+def _share(condition: str) -> str:
+    return f"round(100.0 * count(*) FILTER ({condition}) / count(*), 1)"
+
+
+SLA_KPI = f"SELECT {_share('NOT sla_breached')} AS sla_compliance FROM in_window"
+KPI_ROWS = f"""SELECT kpi, label, value
+  FROM (VALUES {", ".join(f"({_quoted(kpi)}, {_quoted(label)})" for kpi, label in KPI_LABELS.items())}) names(kpi, label)
+  JOIN (UNPIVOT (
+    SELECT {_pounds("(SELECT sum(revenue_pence) FROM customer_360)")} AS monthly_recurring_revenue,
+           {_pounds("(SELECT sum(overdue_pence) FROM customer_360)")} AS overdue_debt,
+           CAST(({SLA_KPI}) AS DOUBLE) AS sla_compliance,
+           CAST(count(*) AS DOUBLE) AS at_risk_accounts,
+           {_pounds("sum(revenue_pence)")} AS revenue_at_risk,
+           (SELECT round(avg(avg_csat), 2) FROM customer_360) AS avg_csat
+    FROM at_risk) ON COLUMNS(*) INTO NAME kpi VALUE value) USING (kpi)"""
+BY_CATEGORY = f"""SELECT category, count(*) AS tickets, {_share("sla_breached")} AS {{}}
+  FROM fact_ticket GROUP BY ALL"""
+
+
+_AT_RISK_FIGURES = f"round(health_score) AS health, {_pounds('revenue_pence')} AS mrr_gbp"
 
 
 def _metric_sql() -> dict[str, str]:
@@ -333,73 +345,66 @@ def _metric_sql() -> dict[str, str]:
                    ELSE format('{:,.1f}', value) END AS shown
             FROM kpi_rows""",
         ),
-        "sla_compliance": _with(TICKETS, SLA_KPI),
+        "sla_compliance": _with(f"{TICKETS}, {NEWEST}", SLA_KPI),
         "revenue_trend": _with(
             INVOICES,
-            """SELECT CAST(issued_date AS VARCHAR) AS month, product, round(sum(amount_gbp)) AS revenue_gbp
-            FROM fact_invoice GROUP BY 1, 2 ORDER BY 1, 2""",
-        ),
-        "tickets_by_category": _with(
-            TICKETS,
-            f"""SELECT category, count(*) AS tickets, {PERCENT} AS breach_rate_pct
-            FROM fact_ticket GROUP BY 1 ORDER BY tickets DESC, 1""",
+            f"""SELECT strftime(issued_date, '%Y-%m-%d') AS month, product, {_pounds("sum(pence)")} AS revenue_gbp
+            FROM fact_invoice GROUP BY ALL""",
         ),
+        "tickets_by_category": _with(TICKETS, BY_CATEGORY.format("breach_rate_pct")),
         "health_by_sector": _with(
             WIDE,
-            """SELECT sector, count(*) AS accounts, round(avg(health_score), 1) AS avg_health,
-              round(sum(monthly_revenue_gbp)) AS mrr_gbp
-            FROM customer_360 GROUP BY 1 ORDER BY avg_health, 1""",
+            f"""SELECT sector, count(*) AS accounts, round(avg(health_score), 1) AS avg_health,
+              {_pounds("sum(revenue_pence)")} AS mrr_gbp
+            FROM customer_360 GROUP BY ALL""",
+        ),
+        "account_manager_portfolio": _with(
+            WIDE,
+            f"""SELECT account_manager, count(*) AS accounts, {_pounds("sum(revenue_pence)")} AS mrr_gbp,
+              count(*) FILTER (health_score < 40) AS at_risk
+            FROM customer_360 GROUP BY ALL""",
         ),
-        "account_manager_portfolio": _with(WIDE, PORTFOLIO),
         "at_risk_accounts": _with(
             WIDE,
-            """SELECT customer_id, company_name, sector, account_manager, round(health_score) AS health,
-              round(monthly_revenue_gbp) AS mrr_gbp, sla_breaches_90d, round(overdue_gbp) AS overdue_gbp,
-              outage_minutes_3m
-            FROM customer_360 WHERE health_score < 40 ORDER BY monthly_revenue_gbp DESC, customer_id""",
+            f"""FROM at_risk SELECT customer_id, company_name, sector, account_manager, {_AT_RISK_FIGURES},
+              sla_breaches_90d, {_pounds("overdue_pence")} AS overdue_gbp, outage_minutes_3m""",
         ),
         "top_at_risk": _with(
             WIDE,
-            """SELECT company_name, account_manager, round(health_score) AS health,
-              round(monthly_revenue_gbp) AS mrr_gbp
-            FROM customer_360 WHERE health_score < 40
-            ORDER BY monthly_revenue_gbp DESC, customer_id LIMIT 10""",
+            f"""FROM at_risk SELECT company_name, account_manager, {_AT_RISK_FIGURES}
+            QUALIFY row_number() OVER (ORDER BY revenue_pence DESC, customer_id) <= 10""",
         ),
         "top_debtors": _with(
             WIDE,
-            """SELECT company_name, account_manager, round(c.overdue_gbp) AS overdue_gbp
-            FROM customer_360 c WHERE c.overdue_gbp > 0
-            ORDER BY c.overdue_gbp DESC, customer_id LIMIT 10""",
-        ),
-        "breach_rate_by_category": _with(
-            TICKETS,
-            f"""SELECT category, count(*) AS tickets, {PERCENT} AS breach_pct
-            FROM fact_ticket GROUP BY 1 ORDER BY breach_pct DESC, 1""",
+            f"""FROM debt JOIN dim_customer USING (customer_id)
+            SELECT company_name, account_manager, {_pounds("overdue_pence")} AS overdue_gbp WHERE overdue_pence > 0
+            QUALIFY row_number() OVER (ORDER BY overdue_pence DESC, customer_id) <= 10""",
         ),
+        "breach_rate_by_category": _with(TICKETS, BY_CATEGORY.format("breach_pct")),
         "mrr_by_product": _with(
             INVOICES,
-            """SELECT product, round(sum(amount_gbp)) AS mrr_gbp FROM fact_invoice
-            WHERE issued_date = (SELECT max(issued_date) FROM fact_invoice) GROUP BY 1 ORDER BY 2 DESC, 1""",
+            f"""SELECT product, {_pounds("arg_max(pence, issued_date)")} AS mrr_gbp FROM (
+              SELECT product, issued_date, sum(pence) AS pence FROM fact_invoice GROUP BY product, issued_date
+              QUALIFY dense_rank() OVER (ORDER BY issued_date DESC) = 1) GROUP BY ALL""",
         ),
     }
 
 
 # --- Rules and actions ------------------------------------------------------
 
+_ACCOUNT = "customer_id, company_name, account_manager"
 RULE_SQL = {
-    "churn_risk_review": """SELECT customer_id, company_name, account_manager,
-      'Health score ' || CAST(round(health_score) AS INT) || '/100' AS reason
-      FROM customer_360 WHERE health_score < 40""",
-    "sla_breach_escalation": """SELECT customer_id, company_name, account_manager,
-      sla_breaches_90d || ' SLA breaches in 90 days' AS reason
-      FROM customer_360 WHERE sla_breaches_90d >= 3""",
-    "overdue_debt_chase": """SELECT customer_id, company_name, account_manager,
-      '£' || CAST(round(debt.overdue_gbp) AS BIGINT) || ' overdue' AS reason
-      FROM debt JOIN dim_customer USING (customer_id)""",
-    "upsell_growth": """SELECT customer_id, company_name, account_manager,
-      'Data usage up ' || CAST(round(data_growth_pct) AS BIGINT) || '% with ' || product_count
-        || ' product line(s)' AS reason
-      FROM customer_360 WHERE health_score >= 70 AND data_growth_pct > 5 AND product_count = 1""",
+    "churn_risk_review": f"""FROM at_risk SELECT {_ACCOUNT},
+      printf('Health score %d/100', CAST(round(health_score) AS INT)) AS reason""",
+    "sla_breach_escalation": f"""FROM recent JOIN dim_customer USING (customer_id)
+      SELECT {_ACCOUNT}, printf('%d SLA breaches in 90 days', sla_breaches_90d) AS reason
+      WHERE sla_breaches_90d >= 3""",
+    "overdue_debt_chase": f"""FROM debt JOIN dim_customer USING (customer_id)
+      SELECT {_ACCOUNT}, printf('£%d overdue', CAST((debt.overdue_pence + 50) // 100 AS BIGINT)) AS reason""",
+    "upsell_growth": f"""FROM customer_360
+      SELECT {_ACCOUNT}, printf('Data usage up %d%% with %d product line(s)',
+        CAST(round(data_growth_pct) AS BIGINT), product_count) AS reason
+      WHERE health_score >= 70 AND data_growth_pct > 5 AND product_count = 1""",
 }
 HITS = " UNION ALL ".join(
     f"""SELECT '{r["id"]}:' || customer_id AS action_key, '{r["id"]}' AS rule_id,
@@ -536,7 +541,8 @@ def _intent(column: str, result) -> str:
 
 
 QUESTIONS = f"""redacted AS (
-  SELECT conv_id || '/' || turn AS question_id, {_redacted("text")} AS question
+  SELECT conv_id || '/' || turn AS question_id,
+         {_redacted(f"{_list(OPENINGS)}[(conv_id + turn) % {len(OPENINGS)} + 1] || text")} AS question
   FROM conversations WHERE role = 'user'), classified AS (
   SELECT question_id, {_intent("question", lambda i: i.name)} AS intent,
          coalesce({_intent("question", lambda i: i.policy)}, question) AS search

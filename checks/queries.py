@@ -9,11 +9,12 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.extracts import extracts, spread_table, table
+from checks.extracts import extracts, spread_table, table, user_questions
 from tallyhouse.functions import parsing
 from tallyhouse.functions.keys import canonical_key
 from tallyhouse.functions.text import raw_tokens, redact, search_tokens, title_case
@@ -170,7 +171,9 @@ def title_case_query_(spark: SparkSession, folder: str) -> DataFrame:
 
 def _register_ingest(entity: str) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return plain(dirty_ingest(spark, folder).frame(entity), MAY_LACK)
+        # Nothing is written, so columns with personal data are still there.
+        lazy = ingest(extracts(spark, folder, dirty=True), load_sources())
+        return plain(lazy.frame(entity), MAY_LACK)
 
     _QUERIES[f"ingest_{entity}"] = query
 
@@ -219,7 +222,7 @@ for _name in ("dim_customer", "fact_invoice", "fact_ticket", "fact_usage"):
 def pii_minimised_schema(spark: SparkSession, folder: str) -> DataFrame:
     """Every mart column and how many rows fill it; no column with personal data is there."""
     profiles = []
-    for name in ("dim_customer", "fact_ticket"):
+    for name in mart_plans.TABLES:
         frame = _mart(spark, folder, name)
         counts = frame.agg(*(F.count(c).alias(c) for c in frame.columns))
         profiles.append(
@@ -227,7 +230,7 @@ def pii_minimised_schema(spark: SparkSession, folder: str) -> DataFrame:
                 F.lit(name).alias("table_name"), "column_name", "filled"
             )
         )
-    return profiles[0].union(profiles[1])
+    return reduce(DataFrame.union, profiles)
 
 
 @_query
@@ -446,17 +449,9 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.select("doc", "position", "title", "heading", F.md5("text").alias("text_md5"))
 
 
-def _asked(spark: SparkSession, folder: str) -> DataFrame:
-    turns = spread_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
-    turns = turns.filter(F.col("role") == "user")
-    return turns.select(
-        F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.col("text").alias("question")
-    )
-
-
 @_query
 def intent_classify(spark: SparkSession, folder: str) -> DataFrame:
-    sorted_out = questions.classify(_asked(spark, folder))
+    sorted_out = questions.classify(user_questions(spark, folder))
     return sorted_out.select("question_id", "intent", F.md5("search").alias("search_md5"))
 
 
@@ -468,7 +463,7 @@ def question_policy(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("Policy "), F.col("item_id").cast("string")).alias("heading"),
         "text",
     )
-    asked = questions.classify(_asked(spark, folder))
+    asked = questions.classify(user_questions(spark, folder))
     return plain(questions.with_policy(asked, passages, Store.fresh(spark, "policy")), ("chunk_id",))
 
 

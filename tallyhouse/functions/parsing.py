@@ -22,6 +22,8 @@ _DIRECTIVES = {
 _NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _MONEY_NOISE = rf"[£,]|{BLANK_CLASS}"
 _LONG_LIMIT = 2.0**63
+# Money is added up as decimal(24,6); an amount that does not fit is reported as unreadable.
+MONEY_LIMIT = 1e18
 
 
 def _date_pattern(fmt: str) -> tuple[str, str]:
@@ -54,7 +56,9 @@ def _datetime(text: Column, spec: dict) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.regexp_extract(text, _NUMBER, 0).try_cast("double")
+    """A finite number; digits beyond the range of a double cannot be read."""
+    number = F.regexp_extract(text, _NUMBER, 0).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def _float(text: Column, spec: dict) -> Column:
@@ -62,7 +66,8 @@ def _float(text: Column, spec: dict) -> Column:
 
 
 def _currency(text: Column, spec: dict) -> Column:
-    return _number(F.regexp_replace(text, _MONEY_NOISE, ""))
+    amount = _number(F.regexp_replace(text, _MONEY_NOISE, ""))
+    return F.when(F.abs(amount) < MONEY_LIMIT, amount)
 
 
 def _int(text: Column, spec: dict) -> Column:

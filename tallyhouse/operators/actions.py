@@ -22,6 +22,7 @@ SCHEMA = (
 COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
 MANAGER = "account_manager"  # an owner that stands for the manager of the account
 OPEN = "open"
+HIT = ("customer_id", "company_name", "account_manager", "reason")
 
 
 def empty_log(spark: SparkSession) -> DataFrame:
@@ -30,8 +31,12 @@ def empty_log(spark: SparkSession) -> DataFrame:
 
 
 def rule_hits(spark: SparkSession, rule: dict) -> DataFrame:
-    """Rows a rule's query finds in the registered marts."""
-    return spark.sql(rule["sql"]).select("customer_id", "company_name", "account_manager", "reason")
+    """What a rule finds in the registered marts: by its own ``sql``, or the rows of a ``table``
+    for which ``when`` holds, with ``reason`` as an expression."""
+    if "sql" in rule:
+        return spark.sql(rule["sql"]).select(*HIT)
+    found = spark.table(rule["table"]).filter(rule["when"])
+    return found.withColumn("reason", F.expr(rule["reason"])).select(*HIT)
 
 
 def all_hits(spark: SparkSession, rules: list[dict]) -> DataFrame:
@@ -52,7 +57,8 @@ def all_hits(spark: SparkSession, rules: list[dict]) -> DataFrame:
             F.lit(rule["action"]).alias("action"),
         )
 
-    return reduce(DataFrame.unionByName, (actions(rule) for rule in rules))
+    none = empty_log(spark).drop("status", "raised_at", "run")
+    return reduce(DataFrame.unionByName, (actions(rule) for rule in rules), none)
 
 
 def state(log: DataFrame) -> DataFrame:
@@ -135,6 +141,8 @@ def action_metrics(log: DataFrame) -> DataFrame:
 
 def rule_audit(hits: DataFrame, raised: DataFrame, rules: list[dict]) -> DataFrame:
     """Matches and new actions of every rule, also of those that found nothing."""
+    if not rules:
+        return hits.sparkSession.createDataFrame([], "rule_id string, matches bigint, new_actions bigint")
     ids = [F.lit(rule["id"]) for rule in rules]
     nothing = hits.sparkSession.range(1).select(F.explode(F.array(*ids)).alias("rule_id"))
     counted = reduce(

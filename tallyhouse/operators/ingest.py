@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import parsing
 from tallyhouse.functions.keys import canonical_key
+from tallyhouse.sources.files import MALFORMED
 from tallyhouse.sources.store import Store
 
 KEY = "customer_id"
 CUSTOMER = "customer"
 UNKNOWN_KEY = "unrecognised customer key"
+BAD_LINE = "wrong number of fields"
 ORPHAN = "no matching CRM account (quarantined)"
 # Above this many unknown keys they are joined by shuffle instead of broadcast.
 BROADCAST_KEYS = 500_000
 
-_ROW, _ISSUES, _ORPHAN = "_row", "_issues", "_orphan"
+_ROW, _ISSUES, _ORPHAN, _MALFORMED = "_row", "_issues", "_orphan", "_malformed"
 
 
 def _issue(source: str, field: str, problem: str) -> Column:
@@ -52,13 +54,18 @@ def parse_source(raw: DataFrame, name: str, source: dict) -> DataFrame:
         for new, text in texts.items()
     ]
     originals = [text.alias(f"_raw_{new}") for new, text in texts.items() if new in types]
+    malformed = F.col(MALFORMED).isNotNull() if MALFORMED in raw.columns else F.lit(False)
     frame = raw.select(
+        malformed.alias(_MALFORMED),
         F.concat_ws("|", *(F.col(f"`{f}`").cast("string") for f in locator)).alias(_ROW),
         canonical_key(F.col(f"`{key_field}`"), source["key"]["pattern"]).alias(KEY),
         *typed,
         *originals,
     )
-    problems = [(F.col(KEY).isNull(), _issue(name, key_field, UNKNOWN_KEY))]
+    problems = [
+        (F.col(_MALFORMED), _issue(name, "line", BAD_LINE)),
+        (F.col(KEY).isNull(), _issue(name, key_field, UNKNOWN_KEY)),
+    ]
     problems += [
         (
             parsing.unreadable(F.col(f"_raw_{new}"), F.col(new)),
@@ -82,8 +89,12 @@ def unknown_keys(facts: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def mark_orphans(facts: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Mark facts of unknown customers. Rows without a readable key pass by the join: by a
+    shuffle all of them would go to one task."""
     marks = orphans.select(KEY, F.lit(True).alias(_ORPHAN))
-    return facts.join(marks, KEY, "left").withColumn(_ORPHAN, F.coalesce(_ORPHAN, F.lit(False)))
+    keyed = facts.filter(F.col(KEY).isNotNull()).join(marks, KEY, "left")
+    keyed = keyed.withColumn(_ORPHAN, F.coalesce(_ORPHAN, F.lit(False)))
+    return keyed.unionByName(facts.filter(F.col(KEY).isNull()).withColumn(_ORPHAN, F.lit(False)))
 
 
 @dataclass
@@ -102,8 +113,13 @@ class Source:
     def loaded(self) -> Column:
         return F.col(KEY).isNotNull() & ~F.col(_ORPHAN)
 
+    @property
+    def columns(self) -> list[str]:
+        """Mapped columns; those with personal data only while nothing has been written."""
+        return [c for c in self.config["fields"].values() if c in self.rows.columns]
+
     def frame(self) -> DataFrame:
-        return self.rows.filter(self.loaded).select(*self.config["fields"].values())
+        return self.rows.filter(self.loaded).select(*self.columns)
 
     def issues(self) -> DataFrame:
         orphan = F.when(F.col(_ORPHAN), _issue(self.entity, KEY, ORPHAN))
@@ -147,7 +163,7 @@ class IngestResult:
     def orphans(self, entity: str) -> DataFrame:
         """Rows held back because no customer has their key."""
         source = self.source_of(entity)
-        return source.rows.filter(F.col(_ORPHAN)).select(*source.config["fields"].values())
+        return source.rows.filter(F.col(_ORPHAN)).select(*source.columns)
 
     def quality_report(self) -> DataFrame:
         """Every issue: source, row (the record's locator), field, problem."""
@@ -161,12 +177,14 @@ def ingest(raw: dict[str, DataFrame], mapping: dict[str, dict], store: Store | N
     """Ingest every source of a mapping.
 
     With a store, each parsed source is written once, so text is parsed once however many
-    results are read from it, and unknown keys are counted before they are broadcast.
+    results are read from it, and unknown keys are counted before they are broadcast. Columns
+    with personal data are dropped before that; without a store they are there, in memory only.
     """
 
     parsed = {name: parse_source(raw[name], name, source) for name, source in mapping.items()}
     if store:
-        parsed = store.write_all(parsed, "parsed_{}")
+        kept = {name: rows.drop(*mapping[name].get("pii", [])) for name, rows in parsed.items()}
+        parsed = store.write_all(kept, "parsed_{}")
     crm = next(name for name, source in mapping.items() if source["entity"] == CUSTOMER)
     known = parsed[crm].select(KEY).filter(F.col(KEY).isNotNull()).distinct()
     unknown = {name: unknown_keys(rows, known) for name, rows in parsed.items() if name != crm}

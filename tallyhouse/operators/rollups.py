@@ -11,6 +11,11 @@ TICKET_WINDOW_DAYS = 90
 RECENT_MONTHS, BASE_MONTHS = 3, 9
 
 
+def exact_sum(amount: Column) -> Column:
+    """A sum of money. Added up as decimals: the sum of doubles depends on the order of tasks."""
+    return F.sum(amount.cast("decimal(24,6)"))
+
+
 def latest(frame: DataFrame, column: str, before: str | None = None) -> Column:
     """The largest value of a column, or an interval before it, as a scalar subquery.
 
@@ -31,7 +36,7 @@ def revenue(invoices: DataFrame) -> DataFrame:
         invoices.filter(F.col("issued_date") == latest(invoices, "issued_date"))
         .groupBy("customer_id")
         .agg(
-            F.sum("amount_gbp").alias("monthly_revenue_gbp"),
+            exact_sum(F.col("amount_gbp")).cast("double").alias("monthly_revenue_gbp"),
             F.countDistinct("product").alias("product_count"),
         )
     )
@@ -42,7 +47,7 @@ def overdue_debt(invoices: DataFrame) -> DataFrame:
     return (
         invoices.filter(F.col("paid_date").isNull() & (F.col("days_outstanding") > OVERDUE_AFTER_DAYS))
         .groupBy("customer_id")
-        .agg(F.sum("amount_gbp").alias("overdue_gbp"))
+        .agg(exact_sum(F.col("amount_gbp")).cast("double").alias("overdue_gbp"))
     )
 
 

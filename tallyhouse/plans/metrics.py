@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.health import AT_RISK_BELOW
-from tallyhouse.operators.rollups import in_ticket_window, latest
+from tallyhouse.operators.rollups import exact_sum, in_ticket_window, latest
 
 # --- Fixed values: KPI names and labels -------------------------------------
 KPI_LABELS = {
@@ -34,9 +34,8 @@ def _percent(flag: Column) -> Column:
 
 
 def _gbp(amount: Column) -> Column:
-    """Whole pounds of a sum. Added up exactly: adding doubles gives other last digits in every
-    order of tasks, which tips sums that end in 50 pence either way."""
-    return F.round(F.sum(amount.cast("decimal(24,6)"))).cast("double")
+    """Whole pounds of an exact sum; sums that end in 50 pence round up in any order of tasks."""
+    return F.round(exact_sum(amount)).cast("double")
 
 
 def sla_compliance(tickets: DataFrame) -> DataFrame:

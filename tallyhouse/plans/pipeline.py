@@ -40,7 +40,7 @@ def run(
 
     The action and audit logs below ``output`` carry on from earlier runs.
     """
-    mapping = mapping or load_sources()
+    mapping = load_sources() if mapping is None else mapping
     store = Store(spark, f"{output}/tables")
     audit = AuditLog(spark, f"{output}/audit")
     ingested = ingest(read_sources(spark, extracts, mapping), mapping, store)
@@ -54,7 +54,7 @@ def run(
     marts = Marts(ingested, store).build()
     marts.register()
     log = ActionLog(spark, f"{output}/actions")
-    return Run(ingested, marts, audit, log.run_rules(rules or load_rules(), audit))
+    return Run(ingested, marts, audit, log.run_rules(load_rules() if rules is None else rules, audit))
 
 
 def main(extracts: str, output: str) -> None:

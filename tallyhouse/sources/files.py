@@ -6,16 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Share the rows of a file scan out where it has fewer splits than there are cores.
-
-    Parsing and tokenising cost far more than reading, so one big split would keep the other
-    cores waiting. Such an input is at most a few splits, so the shuffle is small; a scan with
-    enough splits stays as it is. Only for plain scans: anything else would be run to count them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+#: The text of a CSV line with more or fewer fields than its header; NULL for all other lines.
+MALFORMED = "_malformed_line"
 
 
 def _records_span_lines(spark: SparkSession, path: str) -> bool:
@@ -30,15 +22,16 @@ def _records_span_lines(spark: SparkSession, path: str) -> bool:
 
 def _read_csv(spark: SparkSession, path: str, layout: str | None) -> DataFrame:
     whole_files = layout != "lines" and _records_span_lines(spark, path)
-    frame = spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=whole_files, enforceSchema=False
-    )
-    return spread(frame).na.fill("")  # an empty CSV field is empty text, not a missing value
+    form = dict(header=True, quote='"', escape='"', multiLine=whole_files, enforceSchema=False)
+    names = spark.read.csv(path, **form).columns
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, MALFORMED]])
+    frame = spark.read.schema(schema).csv(path, columnNameOfCorruptRecord=MALFORMED, **form)
+    return frame.na.fill("", names)  # an empty CSV field is empty text, not a missing value
 
 
 def _read_json(spark: SparkSession, path: str, layout: str | None, fields: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(name, T.StringType()) for name in fields])
-    return spread(spark.read.schema(schema).json(path, multiLine=layout != "lines", mode="FAILFAST"))
+    return spark.read.schema(schema).json(path, multiLine=layout != "lines", mode="FAILFAST")
 
 
 def read_source(spark: SparkSession, folder: str, source: dict) -> DataFrame:
@@ -48,7 +41,9 @@ def read_source(spark: SparkSession, folder: str, source: dict) -> DataFrame:
     if fmt == "csv":
         return _read_csv(spark, path, layout)
     if fmt == "json":
-        return _read_json(spark, path, layout, list(source["fields"]))
+        key = source.get("key", {}).get("field")
+        wanted = [*source["fields"], *source.get("locator", []), *([key] if key else [])]
+        return _read_json(spark, path, layout, list(dict.fromkeys(wanted)))
     raise ValueError(f"Unsupported format {fmt}")
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from checks import queries as registered
-from tallyhouse.operators.governed import GovernedSession, UnsafeQuery
+from tallyhouse.operators.governed import FailedQuery, GovernedSession, UnsafeQuery
 from tallyhouse.plans.marts import TABLES
 from tallyhouse.sources.audit import AuditLog
 
@@ -41,6 +41,13 @@ def governed(spark, paths):
         "COPY fact_usage TO 'out.csv'",
         "SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS a",
         "SELECT `reflect`('java.lang.System', 'getProperty', 'user.home') AS a",
+        "SELECT IDENTIFIER('ref' || 'lect')('java.lang.Math', 'abs', -3) AS a",
+        "SELECT try_reflect('java.lang.Math', 'abs', -3) AS a FROM fact_usage",
+        "SELECT 1 AS a WHERE EXISTS (SELECT java_method('java.lang.Math', 'abs', -3))",
+        "SELECT TRANSFORM(customer_id) USING 'cat' AS (x STRING) FROM dim_customer",
+        "WITH t AS (SELECT TRANSFORM(town) USING 'cat' AS (x STRING) FROM dim_customer) SELECT * FROM t",
+        "FROM dim_customer MAP customer_id USING 'cat' AS x",
+        "SELECT * FROM range(5)",
         "SHOW TABLES",
         "EXPLAIN SELECT 1 AS a",
         "",
@@ -79,6 +86,10 @@ def test_views_of_other_sessions_are_out_of_reach(spark, governed):
         "SELECT town FROM dim_customer UNION SELECT sector FROM dim_customer",
         "SELECT company_name FROM dim_customer -- all of them",
         "SELECT 'DROP TABLE x; --' AS a FROM fact_usage",
+        "SELECT town, 'SubqueryAlias a.b' AS a FROM dim_customer WHERE customer_id <> 'reflect'",
+        "SELECT customer_id, rank() OVER (ORDER BY seats) AS r FROM dim_customer ORDER BY r OFFSET 1",
+        "SELECT count_if(sla_breached) AS n, to_json(struct(max(opened_at))) AS j FROM fact_ticket GROUP BY CUBE(priority)",
+        "SELECT x FROM dim_customer LATERAL VIEW explode(split(town, ' ')) AS x WHERE seats >= (SELECT min(seats) FROM dim_customer)",
     ],
 )
 def test_selects_run_and_are_capped(governed, sql):
@@ -105,6 +116,10 @@ def test_records_and_audit(spark, paths, tmp_path):
     events = {r.event: r.detail for r in audit.entries().collect()}
     assert events["sql_run"]["purpose"] == "look" and int(events["sql_run"]["rows"]) > 50
     assert "DROP" in events["sql_blocked"]["sql"]
+    with pytest.raises(FailedQuery):
+        governed.run("SELECT raise_error('no such luck') AS a FROM fact_usage")
+    failed = audit.entries().filter("event = 'sql_failed'").collect()
+    assert len(failed) == 1 and "no such luck" in failed[0].detail["reason"]
 
 
 def test_only_marts_can_be_approved(spark):

@@ -61,10 +61,12 @@ def test_rows_with_bad_values_stay_and_orphans_go(ingested):
     assert [r.invoice_id for r in ingested.orphans("invoice").collect()] == ["I5"]
 
 
-def test_transforms_and_pii(ingested):
+def test_transforms_and_pii(ingested, request):
     customers = ingested.frame("customer").orderBy("customer_id").collect()
     assert [c.sector for c in customers] == ["Retail", "Health Care", "Energy"]
-    assert "contact_email" in ingested.frame("customer").columns
+    stored = request.node.callspec.params["ingested"] == "stored"
+    assert ("contact_email" in ingested.frame("customer").columns) == (not stored)
+    assert ("summary" in ingested.frame("ticket").columns) == (not stored)
     assert "contact_email" not in ingested.without_pii("customer").columns
     assert "summary" not in ingested.without_pii("ticket").columns
 
@@ -83,7 +85,27 @@ def test_records_over_several_lines_are_read_whole(spark, tmp_path):
     (tmp_path / "notes.csv").write_text('id,note\n1,"two\nlines, ""quoted"""\n2,one\n', encoding="utf-8")
     source = {"file": "notes.csv", "format": "csv"}
     got = files.read_source(spark, str(tmp_path), source)
-    assert rows(got) == [("1", 'two\nlines, "quoted"'), ("2", "one")]
+    assert got.columns == ["id", "note", files.MALFORMED]
+    assert rows(got) == [("1", 'two\nlines, "quoted"', None), ("2", "one", None)]
+
+
+def test_lines_of_another_length_are_issues(spark, tmp_path):
+    source = load_sources()["network"]
+    lines = [",".join(source["fields"]), "NB/1,2024-01,1,2,3", "NB/2,2024-01,1,2,3,surplus,more", "NB/3,2024-01,1"]
+    (tmp_path / source["file"]).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    crm = spark.createDataFrame([("C-1",), ("C-2",), ("C-3",)], "`Account ID` string")
+    mapping = {"crm": {"file": "", "entity": "customer", "fields": {"Account ID": "customer_id"},
+                       "key": load_sources()["crm"]["key"]}, "network": source}
+    result = ingest({"crm": crm, "network": files.read_source(spark, str(tmp_path), source)}, mapping)
+    issues = rows(result.quality_report().select("row", "field", "problem"))
+    assert issues == [(f"NB/{n}|2024-01", "line", "wrong number of fields") for n in (2, 3)]
+    assert result.frame("usage").count() == 3
+
+
+def test_only_customers(spark, raw):
+    mapping = {"crm": load_sources()["crm"]}
+    result = ingest({"crm": raw["crm"]}, mapping, Store.fresh(spark, "alone"))
+    assert result.frame("customer").count() == 3 and result.quality_report().isEmpty()
 
 
 def test_a_folder_of_extracts_reads_as_one(spark, tmp_path):
