@@ -64,7 +64,7 @@ class Memo:
         lacking, old = keys.difference(self.new), self.old
         if not old:
             return lacking
-        kept = lacking.intersection(old)
+        kept = {key for key in lacking if key in old}  # intersection() would walk all of old
         self.new.update((key, old[key]) for key in kept)
         return lacking - kept
 
