@@ -20,7 +20,7 @@ from tallyhouse.llm.byte_pairs import load
 from tallyhouse.llm.tasks import bounded, ship, texts
 
 #: Text that is encoded at once, and rows that are decoded at once.
-BATCH_BYTES, ROWS = 2 << 20, 500
+BATCH_BYTES, ROWS = 4 << 20, 500
 
 
 def encode(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame:

@@ -26,7 +26,9 @@ import regex
 PRE_TOKEN = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 )
-#: A worker remembers the ids of so many pre-tokens and pieces between spaces, and as many before them. Only speed depends on it.
+#: Strings that are one pre-token of letters, whose kind never changed, and at most one of ASCII marks behind it.
+WORD_AND_MARKS = r"^(?P<word> ?[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+#: A worker remembers the ids of so many pre-tokens, and as many before them. Only speed depends on it.
 REMEMBERED = 100_000
 #: Pre-tokens of at most so many bytes are merged side by side.
 SHORT = 65
@@ -83,25 +85,44 @@ class Pieces:
         """The ids of different pre-tokens as unsigned 32-bit integers."""
         raise NotImplementedError
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        """The ids of strings that start and end where pre-tokens do."""
-        memo, parted = self._known, {}
-        if self._has_special("\n".join(units)):
-            parted = {unit: self._with_special(unit) for unit in units if self._has_special(unit)}
-        memo.forget()
-        cut, words = {}, set()
-        for unit in memo.unknown(set(units).difference(parted)):
-            if not (unit.isascii() and unit.isalpha()):
-                parts = PRE_TOKEN.findall(unit)
-                if len(parts) != 1:
-                    cut[unit] = parts
-                    words.update(parts)
-                    continue
-            words.add(unit)
-        memo.new.update(self._coded(list(memo.unknown(words))))
-        known = memo.new
-        known.update([(unit, b"".join([known[word] for word in parts])) for unit, parts in cut.items()])
-        return [parted[unit] if unit in parted else known[unit] for unit in units] if parted else [known[unit] for unit in units]
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings that start and end where pre-tokens do, one after the other, and how many each has.
+
+        A word with marks behind it is cut by Arrow, other strings one by one; each different pre-token is coded once.
+        """
+        parted = [self._has_special(unit) and self._with_special(unit) for unit in units.to_pylist()] if self._any_special(units) else []
+        special = np.array([i for i, ids in enumerate(parted) if ids], np.int64)
+        cut = pc.extract_regex(units, WORD_AND_MARKS)
+        simple = np.asarray(cut.is_valid())
+        simple[special] = False
+        apart = ~simple
+        apart[special] = False
+        plain, odd = np.flatnonzero(simple), np.flatnonzero(apart)
+        word, marks = (pc.struct_field(cut, name).filter(pa.array(simple)) for name in ("word", "marks"))
+        marked = np.asarray(pc.not_equal(marks, ""))
+        parts = [PRE_TOKEN.findall(unit) for unit in units.filter(pa.array(apart)).to_pylist()]
+        many = np.fromiter(map(len, parts), np.int64, len(parts))
+        coded = pa.concat_arrays(
+            [word, marks.filter(pa.array(marked)), pa.array([part for some in parts for part in some], pa.string())]
+        ).dictionary_encode()
+        ids = self._words(coded.dictionary.to_pylist()) + [parted[i] for i in special.tolist()]
+        owner = np.concatenate([plain, plain[marked], np.repeat(odd, many), special])
+        codes = np.r_[np.asarray(coded.indices), len(coded.dictionary) + np.arange(len(special))]
+        codes = codes[np.argsort(owner, kind="stable")]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        each = length[codes]
+        total, ends = np.cumsum(np.r_[0, each]), np.cumsum(np.r_[0, np.bincount(owner, minlength=len(units))])
+        return _gathered(np.frombuffer(b"".join(ids), np.uint32), (np.cumsum(length) - length)[codes], each), np.diff(total[ends])
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of different pre-tokens."""
+        self._known.forget()
+        self._known.new.update(self._coded(list(self._known.unknown(set(words)))))
+        known = self._known.new
+        return [known[word] for word in words]
+
+    def _any_special(self, units: pa.Array) -> bool:
+        return any(pc.any(pc.match_substring(units, token)).as_py() for token in self.special)
 
     def _has_special(self, text: str) -> bool:
         for token in self.special:
@@ -113,7 +134,8 @@ class Pieces:
         """The ids of a text with special tokens in it."""
         parts = [part for part in self.split_special.split(text) if part]
         plain = [part for part in dict.fromkeys(parts) if part not in self.special]
-        ids = dict(zip(plain, self._units(plain)))
+        flat, counts = self._units(pa.array(plain, pa.string()))
+        ids = dict(zip(plain, (one.tobytes() for one in np.split(flat, np.cumsum(counts)[:-1]))))
         return b"".join(ids[part] if part in ids else array("I", [self.special[part]]).tobytes() for part in parts)
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +153,10 @@ class Pieces:
         coded = lists.flatten().dictionary_encode()
         heads = [text if odd else text.split(" ", 1)[0] for odd, text in zip(whole, texts)]
         place = {head: i for i, head in enumerate(dict.fromkeys(heads))}
-        pieces = coded.dictionary.to_pylist()
-        units = [" " + piece for piece in pieces]
+        pieces = pc.binary_join_element_wise(" ", coded.dictionary, "")
         codes = np.array(coded.indices)
-        codes[starts] = np.array([place[head] for head in heads]) + len(units)
-        ids = self._units(units + list(place))
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        flat = np.frombuffer(b"".join(ids), np.uint32)
+        codes[starts] = np.array([place[head] for head in heads]) + len(pieces)
+        flat, length = self._units(pa.concat_arrays([pieces, pa.array(list(place), pa.string())]))
         each = length[codes]
         return _gathered(flat, (np.cumsum(length) - length)[codes], each), np.add.reduceat(each, starts)
 
@@ -155,9 +174,7 @@ class Pieces:
     def leaf_counts(self, cuts: list[list[str]]) -> list[list[int]]:
         """Token counts of the leaves of texts; leaves start and end where pre-tokens do."""
         coded = pa.array([leaf for leaves in cuts for leaf in leaves], pa.string()).dictionary_encode()
-        units = coded.dictionary.to_pylist()
-        counts = np.array([len(ids) // 4 for ids in self._units(units)], np.int64)
-        each = counts[np.asarray(coded.indices)] if units else np.zeros(0, np.int64)
+        each = self._units(coded.dictionary)[1][np.asarray(coded.indices)]
         ends = np.cumsum([0, *map(len, cuts)]).tolist()
         return [each[a:b].tolist() for a, b in zip(ends, ends[1:])]
 
