@@ -609,7 +609,8 @@ def _text_sql() -> dict[str, str]:
             QUESTIONS
             + ", "
             + _bm25(POLICIES, "SELECT DISTINCT search AS query_id, search AS query FROM classified", 1),
-            f"""SELECT question_id, intent, CAST(chunk_id AS DOUBLE) AS chunk_id, heading AS section, left(text, {PASSAGE_CHARS}) AS passage
+            f"""SELECT question_id, intent, CAST(chunk_id AS DOUBLE) AS chunk_id,
+              'Handbook ' || (chunk_id % 7) AS title, heading AS section, left(text, {PASSAGE_CHARS}) AS passage
             FROM classified LEFT JOIN best ON query_id = search LEFT JOIN chunks USING (chunk_id)""",
         ),
     }

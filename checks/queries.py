@@ -460,6 +460,7 @@ def question_policy(spark: SparkSession, folder: str) -> DataFrame:
     """Each user turn with the best matching passage of ``benchmark``."""
     passages = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("chunk_id"),
+        F.concat(F.lit("Handbook "), (F.col("item_id") % 7).cast("string")).alias("title"),
         F.concat(F.lit("Policy "), F.col("item_id").cast("string")).alias("heading"),
         "text",
     )

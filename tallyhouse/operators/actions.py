@@ -6,6 +6,7 @@ highest run number; nothing is updated in place.
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.sources.audit import AuditLog
+from tallyhouse.sources.store import Store
 
 SCHEMA = (
     "action_key string, rule_id string, rule_name string, priority string, owner string, "
@@ -159,7 +161,11 @@ def rule_audit(hits: DataFrame, raised: DataFrame, rules: list[dict]) -> DataFra
 
 
 class ActionLog:
-    """The action log as a Parquet folder that only ever grows; it outlives mart rebuilds."""
+    """The action log as a Parquet folder that only ever grows; it outlives mart rebuilds.
+
+    Runs are numbered by the clock in nanoseconds, and above all earlier ones. Should two runs at
+    once raise the same action, the log has two entries for it and its state is the later one.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -170,7 +176,7 @@ class ActionLog:
         return self.spark.read.schema(SCHEMA).parquet(self.folder)
 
     def _next_run(self) -> int:
-        return (self.entries().agg(F.max("run")).first()[0] or 0) + 1
+        return max(time.time_ns(), (self.entries().agg(F.max("run")).first()[0] or 0) + 1)
 
     def _append(self, entries: DataFrame) -> None:
         entries.write.mode("append").parquet(self.folder)
@@ -178,9 +184,12 @@ class ActionLog:
     def run_rules(
         self, rules: list[dict], audit: AuditLog | None = None, at: datetime | None = None
     ) -> DataFrame:
-        """Evaluate rules over the registered marts, raise what is new, return the work list."""
+        """Evaluate rules over the registered marts, raise what is new, return the work list.
+
+        The hits are written first, so each rule's SQL runs once for the log and the audit.
+        """
         run = self._next_run()
-        hits = all_hits(self.spark, rules)
+        hits = Store.fresh(self.spark, "actions").write("hits", all_hits(self.spark, rules))
         self._append(new_actions(hits, self.entries(), at or datetime.now(), run))
         if audit:
             raised = self.entries().filter(F.col("run") == run)

@@ -23,6 +23,8 @@ RANK_DECIMALS = 6
 # So many short rows (an id, a term and a number) are broadcast at a time.
 BROADCAST_ROWS = 2_000_000
 _ALL = ""  # the pseudo-term that counts every chunk once
+# Rows of one term are joined in so many places, so a term that every chunk holds is no hot key.
+SALTS = 64
 
 
 def index_text() -> Column:
@@ -81,6 +83,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return term_frequencies(queries, "query_id", F.col("query")).withColumnRenamed("tf", "qtf")
 
 
+def _join_terms(rows: DataFrame, key: str, terms: DataFrame, how: str) -> DataFrame:
+    """Rows joined with a table of terms, one row each, which is repeated for every salt."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    each = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, ["term", "salt"], how).drop("salt")
+
+
 def _counted(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Postings (all, or those of a vocabulary's terms) and a pseudo-term once for every chunk.
 
@@ -92,7 +101,7 @@ def _counted(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
     if vocabulary is None:
         return listed
     pseudo = vocabulary.sparkSession.range(1).select(F.lit(_ALL).alias("term"))
-    return listed.join(vocabulary.union(pseudo), "term", "left_semi")
+    return _join_terms(listed, "chunk_id", vocabulary.union(pseudo), "left_semi")
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -133,15 +142,23 @@ def _broadcast_blocks(written: DataFrame, side: DataFrame, key: str) -> list[Dat
     return [F.broadcast(side.filter(block == i) if blocks > 1 else side) for i in range(blocks)]
 
 
-def _scores(weights: DataFrame, asked: DataFrame) -> DataFrame:
+def _scores(counted: DataFrame, asked: DataFrame) -> DataFrame:
+    """Score of every query and chunk that share a term; ``asked`` brings what is known of its terms."""
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / norm
     return (
-        weights.join(asked, "term")
+        counted.join(asked, "term")
         .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+        .agg(F.sum(F.col("qtf") * weight).alias("score"))
         .filter(F.col("score") > 0)
     )
 
 
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.round("score", RANK_DECIMALS).desc(), F.col("chunk_id"))
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def search(
     chunks: DataFrame,
     queries: DataFrame,
@@ -152,10 +169,10 @@ def search(
     """The k best chunks of every query: query_id, rank, chunk_id, score.
 
     With a store, text is read once: the postings of the terms asked for are written, and
-    statistics and scores come from them. The more numerous side is spread by its id, once; the
-    other is broadcast to it in blocks. All that adds to one score is then in one place, so pairs
-    are never shuffled, only the k best of each query and task. Hot terms do no harm: their postings
-    lie with their chunks, not together.
+    statistics and scores come from them. IDF is attached to the terms of the queries. The more
+    numerous side is spread by its id; the other is broadcast to it in blocks, one after the other,
+    each block's best written before the next. All that adds to one score is then in one place, so
+    pairs are never shuffled, only the k best of each query and task. Joins by term are salted.
     """
     asked = query_terms(queries)
     if store:
@@ -165,20 +182,17 @@ def search(
         counted = store.write("bm25_postings", counted)
     frequency = _frequency(counted)
     stats = _stats(store.write("bm25_terms", frequency) if store else frequency)
+    weighed = _join_terms(asked, "query_id", stats.drop("df"), "inner")
 
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    weights = counted.join(stats, "term").select("chunk_id", "term", weight.alias("weight"))
     if more_queries_than_chunks:
-        blocks = _broadcast_blocks(counted, weights, "chunk_id") if store else [weights]
-        asked = asked.repartition("query_id")
-        parts = [_scores(block, asked) for block in blocks]
+        wide = weighed.repartition("query_id")
+        blocks = _broadcast_blocks(counted, counted, "chunk_id") if store else [counted]
+        parts = [_best(_scores(block, wide), k) for block in blocks]
     else:
-        blocks = _broadcast_blocks(asked, asked, "query_id") if store else [asked]
-        weights = weights.repartition("chunk_id")
-        parts = [_scores(weights, block) for block in blocks]
-    best = Window.partitionBy("query_id").orderBy(
-        F.round("score", RANK_DECIMALS).desc(), F.col("chunk_id")
-    )
-    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(best))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+        wide = counted.repartition("chunk_id")
+        blocks = _broadcast_blocks(asked, weighed, "query_id") if store else [weighed]
+        parts = [_best(_scores(wide, block), k) for block in blocks]
+    if len(parts) == 1:
+        return parts[0].select("query_id", "rank", "chunk_id", "score")
+    parts = [store.write(f"bm25_best_{i}", part) for i, part in enumerate(parts)]
+    return _best(reduce(DataFrame.union, parts), k).select("query_id", "rank", "chunk_id", "score")

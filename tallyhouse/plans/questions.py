@@ -112,12 +112,13 @@ def with_policy(classified: DataFrame, chunks: DataFrame, store: Store | None =
     best = bm25.search(chunks, queries, k=1, store=store, more_queries_than_chunks=True)
     passages = chunks.select(
         "chunk_id",
+        "title",
         F.col("heading").alias("section"),
         F.left("text", F.lit(PASSAGE_CHARS)).alias("passage"),
     )
     found = best.select(F.col("query_id").alias("search_id"), "chunk_id").join(passages, "chunk_id")
     return asked.join(found, "search_id", "left").select(
-        "question_id", "intent", "chunk_id", "section", "passage"
+        "question_id", "intent", "chunk_id", "title", "section", "passage"
     )
 
 
@@ -139,15 +140,23 @@ class Answer:
 
 
 def answer(question: str, marts: Marts, chunks: DataFrame, audit: AuditLog | None = None) -> Answer:
-    """The saved report a question asks for, if any, and the best policy passage."""
+    """The saved report a question asks for, if any, and the best policy passage.
+
+    The audit gets the question, the saved report, and what was looked up and found, in one write.
+    """
     spark = chunks.sparkSession
     asked = spark.createDataFrame([("1", question)], "question_id string, question string")
     sorted_out = classify(asked)
     _, redacted, name, _ = sorted_out.first()
-    if audit:
-        audit.record("questions", "question", {"question": redacted, "intent": name or "none"})
-    policy = with_policy(sorted_out, chunks).select("chunk_id", "section", "passage")
+    policy = with_policy(sorted_out, chunks).select("chunk_id", "title", "section", "passage")
     intent = next((i for i in INTENTS if i.name == name), None)
+    if audit:
+        found = [f"{r.title} / {r.section}" for r in policy.filter("chunk_id IS NOT NULL").collect()]
+        events = [("question", {"question": redacted, "intent": name or "none"})]
+        if intent:
+            events.append(("sql_run", {"purpose": intent.heading, "table": intent.table}))
+        events.append(("kb_search", {"query": intent.policy if intent else redacted, "found": found}))
+        audit.record_many("questions", events)
     if intent is None:
         return Answer(None, None, policy)
     return Answer(intent.heading, intent.report(marts.table(intent.table)), policy)

@@ -42,10 +42,18 @@ class AuditLog:
 
     def record(self, layer: str, event: str, detail: dict) -> None:
         """Append one entry."""
-        text = {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in detail.items()}
-        now = datetime.now().isoformat(timespec="seconds")
-        row = [(now, time.time_ns(), layer, event, text)]
-        self.append(self.spark.createDataFrame(row, SCHEMA).coalesce(1))
+        self.record_many(layer, [(event, detail)])
+
+    def record_many(self, layer: str, events: list[tuple[str, dict]]) -> None:
+        """Append entries, in their order, in one write."""
+        now, seq = datetime.now().isoformat(timespec="seconds"), time.time_ns()
+
+        def row(at: int, event: str, detail: dict) -> tuple:
+            text = {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in detail.items()}
+            return now, seq + at, layer, event, text
+
+        rows = [row(at, *event) for at, event in enumerate(events)]
+        self.append(self.spark.createDataFrame(rows, SCHEMA).coalesce(1))
 
     def record_rows(self, frame: DataFrame, layer: str, event, detail: dict) -> None:
         """Append one entry per row of a result, in one write."""

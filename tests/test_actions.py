@@ -31,6 +31,17 @@ def test_running_twice_raises_nothing_twice(spark, tmp_path):
     assert log.entries().count() == len(first)
 
 
+def test_the_later_of_two_runs_at_once_counts(spark, tmp_path):
+    log = ActionLog(spark, str(tmp_path / "log"))
+    hits = actions.all_hits(spark, load_rules())
+    for run, at in ((1, FIRST), (2, SECOND)):  # neither sees what the other raised
+        log._append(actions.new_actions(hits, actions.empty_log(spark), at, run))
+    work = actions.open_actions(log.entries()).collect()
+    assert len(work) == len(keyed(actions.open_actions(log.entries()))) == log.entries().count() / 2 > 0
+    assert {r.raised_at for r in work} == {SECOND}
+    assert log._next_run() > 2
+
+
 def test_a_closed_action_opens_again(spark, tmp_path):
     log = ActionLog(spark, str(tmp_path / "log"))
     first = keyed(log.run_rules(load_rules(), at=FIRST))

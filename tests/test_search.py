@@ -154,6 +154,7 @@ def test_blocks_and_shuffle_joins_give_the_same(spark, small, monkeypatch, many_
     one_block = best(Store.fresh(spark, "one"))
     store = Store.fresh(spark, "many")
     monkeypatch.setattr(bm25, "BROADCAST_ROWS", 3000 if many_queries else 500)
+    monkeypatch.setattr(bm25, "SALTS", 3)
     blocks = best(store)
     written = store.read("bm25_postings" if many_queries else "bm25_queries")
     assert written.count() > 2 * bm25.BROADCAST_ROWS
@@ -200,10 +201,15 @@ def test_questions_by_intent(spark, policies):
 def test_answer_to_one_question(spark, small, policies, tmp_path):
     marts, audit = registered.marts(spark, small), AuditLog(spark, str(tmp_path / "audit"))
     reply = questions.answer("Who owes us money? Tell ann@x.org", marts, policies, audit)
-    assert audit.tail(1).first().detail == {"question": "Who owes us money? Tell [EMAIL]", "intent": "debt"}
+    assert [(r.event, r.detail) for r in audit.entries().orderBy("seq").collect()] == [
+        ("question", {"question": "Who owes us money? Tell [EMAIL]", "intent": "debt"}),
+        ("sql_run", {"purpose": "Customers with invoices more than 45 days overdue:", "table": "customer_360"}),
+        ("kb_search", {"query": "credit control overdue", "found": '["Refund Policy / Late delivery"]'}),
+    ]
     assert reply.heading == "Customers with invoices more than 45 days overdue:"
     assert 0 < reply.report.count() <= 10
-    assert reply.policy.first().section == "Late delivery"  # "credit" is all it shares
+    passage = reply.policy.first()  # "credit" is all it shares
+    assert (passage.title, passage.section) == ("Refund Policy", "Late delivery")
     other = questions.answer("May engineers visit?", marts, policies)
     assert other.report is None and other.policy.first().section in ("Booking", "Site Visits")
 
