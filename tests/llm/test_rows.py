@@ -173,6 +173,71 @@ def test_op9_query(spark, small, real):
     assert any(r.license for r in rows)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3. Neither the name of %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_TEXT = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+PUBLISHED = [
+    (MIT_TEXT, "mit-title>mit-grant>mit-notice", "mit"),
+    (BSD_TEXT % "the copyright holder", "bsd-grant>bsd-name", "bsd-3-clause"),
+    (BSD_TEXT % "Example Inc.", "bsd-grant>bsd-name", "bsd-3-clause"),
+    (GPL_TEXT % (":", ",", 3), "gpl3-grant>gpl-warranty", "gpl-3.0"),
+    (GPL_TEXT % (";", ";", 2), "gpl2-grant>gpl-warranty", "gpl-2.0"),
+    (APACHE_TEXT, "apache2-head>apache2-use>apache2-copy", "apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright (C) 2007", "gpl3-short", "gpl-3.0"),
+    ("This project is licensed under the MIT License - see the LICENSE file.", "mit-short", "mit"),
+    ("The MIT\n\nLicense", "", None),
+    ("~ " * 3000 + ": " * 30000 + "licence" + "\n é" * 30000, "", None),
+]
+
+
+def test_published_licences_as_they_are_wrapped(spark):
+    leaders = ("", "# ", " * ", "// ")
+    cases = [(re.sub("(?m)^", lead, text) if lead else text, ids, licence) for text, ids, licence in PUBLISHED for lead in leaders]
+    cases += [(text.replace("\n", "\r\n"), ids, licence) for text, ids, licence in PUBLISHED]
+    frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.license) for r in license_scan.license_scan(frame).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+
+
 def plain_measures(text: str) -> tuple:
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [line for line in text.split("\n") if line.strip(SPACES)]
