@@ -1,8 +1,9 @@
 """Secret scans (5): key patterns, and high-entropy stretches found by a sliding window.
 
-Candidate strings are long runs of token characters. Each has a character class, the narrowest that holds it; a window
-slides over it and keeps the Shannon entropy of its characters by counting one in and one out. Windows at
-or above the class's threshold join to a span, unless the allow-list knows the candidate or the span adds nothing to
+Candidate strings are long runs of token characters. A window slides over each and keeps the Shannon entropy of its
+characters, and how many are of each kind, by counting one in and one out. Each window is judged by the narrowest class
+that holds its own characters, whatever is joined to them; a second, longer window is for small alphabets. Windows at
+or above their class's threshold join to a span, unless the allow-list knows the candidate or the span adds nothing to
 a span found by pattern. Pattern spans always stay.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans; repeated rows are each
@@ -33,15 +34,28 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Narrowest first: the characters of a class and the entropy in bits at which a window of it is suspicious.
-CLASSES = (
-    (re.compile(r"[0-9]+"), 9.0),  # numbers are no keys
-    (re.compile(r"[0-9a-f]+|[0-9A-F]+"), 3.0),
-    (re.compile(r"[a-z]+|[A-Z]+|[A-Z][a-z]+"), 4.1),
-    (re.compile(r"[A-Za-z]+"), 4.0),
-    (re.compile(r"[A-Za-z0-9]+"), 3.6),
-    (re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8),
-)
+#: Digits and letters of one case vary little, and words vary as much: shorter strings of them are not told from numbers and words.
+LONG_WINDOW = 32
+#: For the classes of a window: the entropy in bits at which it is suspicious, below what nearly all random strings of the
+#: class and the window's length reach. Joints are what stands between words, [+/_=-].
+THRESHOLDS = {
+    WINDOW: {
+        "hex": 3.0,
+        "one case": 4.1,  # first letters may be large
+        "letters": 3.65,
+        "one case, digits": 3.5,
+        "letters, digits": 3.6,
+        "joints, hex": 3.2,
+        "joints, one case": 3.8,
+        "joints, letters": 3.8,
+        "joints, one case, digits": 3.8,
+        "joints, letters, digits": 3.65,
+    },
+    LONG_WINDOW: {"digits": 2.8, "one case": 3.75},
+}
+#: Kinds of characters, and where each is counted.
+DIGIT, SMALL_HEX, SMALL, LARGE_HEX, LARGE, JOINT = range(6)
+_KIND = {c: kind for kind, chars in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_=-")) for c in chars}
 #: Strings that look random and are no secrets.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
@@ -51,7 +65,7 @@ ALLOWED = (
     re.compile(r"(?i).*abcdefghijkl.*|.*0123456789ab.*", re.ASCII),  # alphabets
 )
 
-_GAIN = [0.0, 0.0] + [c * log2(c) for c in range(2, WINDOW + 1)]
+_GAINS = {window: [0.0, 0.0] + [c * log2(c) for c in range(2, window + 1)] for window in THRESHOLDS}
 
 
 def suspicious(candidate: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -59,7 +73,7 @@ def suspicious(candidate: str, threshold: float, window: int = WINDOW) -> list[t
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     least = (log2(window) - threshold) * window + 1e-9
-    gain = _GAIN if window == WINDOW else [0.0, 0.0] + [c * log2(c) for c in range(2, window + 1)]
+    gain = _GAINS.get(window) or [0.0, 0.0] + [c * log2(c) for c in range(2, window + 1)]
     for at, char in enumerate(candidate):
         if at >= window:
             old = candidate[at - window]
@@ -78,6 +92,56 @@ def suspicious(candidate: str, threshold: float, window: int = WINDOW) -> list[t
     return spans
 
 
+def class_of(kinds: list[int]) -> str:
+    """The narrowest class of a window, from how many characters of each kind it has."""
+    small, large = kinds[SMALL_HEX] + kinds[SMALL], kinds[LARGE_HEX] + kinds[LARGE]
+    joints = "joints, " if kinds[JOINT] else ""
+    if not small + large:
+        return joints + "digits"
+    if kinds[DIGIT] and not kinds[SMALL] + kinds[LARGE] or not joints and not kinds[SMALL] + kinds[LARGE]:
+        return joints + "hex"
+    case = "one case" if large <= 1 or not small else "letters"
+    return joints + case + (", digits" if kinds[DIGIT] else "")
+
+
+def judged(candidate: str, window: int) -> list[tuple[int, int]]:
+    """Stretches of a candidate that are covered by windows of at least the entropy of their own class."""
+    gain = _GAINS[window]
+    least = {name: (log2(window) - bits) * window + 1e-9 for name, bits in THRESHOLDS[window].items()}
+    most = max(least.values())
+    counts: dict[str, int] = dict.fromkeys(candidate, 0)
+    kinds, total, spans = [0] * 6, 0.0, []
+    for at, char in enumerate(candidate):
+        if at >= window:
+            old = candidate[at - window]
+            n = counts[old]
+            counts[old] = n - 1
+            kinds[_KIND[old]] -= 1
+            total += gain[n - 1] - gain[n]
+        n = counts[char]
+        counts[char] = n + 1
+        kinds[_KIND[char]] += 1
+        total += gain[n + 1] - gain[n]
+        if at >= window - 1 and total <= most and total <= least.get(class_of(kinds), -1.0):
+            start = at - window + 1
+            if spans and spans[-1][1] >= start:
+                spans[-1] = (spans[-1][0], at + 1)
+            else:
+                spans.append((start, at + 1))
+    return spans
+
+
+def stretches(candidate: str) -> list[tuple[int, int]]:
+    """The suspicious stretches of a candidate by windows of all lengths, those that touch joined."""
+    spans: list[tuple[int, int]] = []
+    for start, end in sorted(s for window in THRESHOLDS if len(candidate) >= window for s in judged(candidate, window)):
+        if spans and spans[-1][1] >= start:
+            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+        else:
+            spans.append((start, end))
+    return spans
+
+
 def find_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span, by start and then in the order of ``KINDS``."""
     longest = max(map(len, text.split()), default=0)
@@ -96,8 +160,7 @@ def find_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[tup
         for m in CANDIDATE.finditer(text):
             if any(pattern.fullmatch(m[0]) for pattern in allowed):
                 continue
-            threshold = next(least for pattern, least in CLASSES if pattern.fullmatch(m[0]))
-            for start, end in suspicious(m[0], threshold):
+            for start, end in stretches(m[0]):
                 start, end = start + m.start(), end + m.start()
                 if not any(a <= start and end <= b for a, b, _ in base):
                     spans.append((start, end, "entropy"))
