@@ -3,7 +3,7 @@
 Candidate strings are long runs of token characters. A window slides over each and keeps the Shannon entropy of its
 characters, and how many are of each kind, by counting one in and one out. Each window is judged by the narrowest class
 that holds its own characters, whatever is joined to them; a second, longer window is for small alphabets. Windows at
-or above their class's threshold join to a span, unless the allow-list knows the candidate or the span adds nothing to
+or above their class's threshold join to a span, unless they overlap a string that the allow-list knows or the span adds nothing to
 a span found by pattern. Pattern spans always stay.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans; repeated rows are each
@@ -56,13 +56,17 @@ THRESHOLDS = {
 #: Kinds of characters, and where each is counted.
 DIGIT, SMALL_HEX, SMALL, LARGE_HEX, LARGE, JOINT = range(6)
 _KIND = {c: kind for kind, chars in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_=-")) for c in chars}
-#: Strings that look random and are no secrets.
+#: Words as they are joined to names and paths: of one case, or with humps.
+_WORD = r"(?:[A-Z]?[a-z]{1,15}(?:[A-Z][a-z]{1,15})*|[A-Z]{1,15})"
+#: Strings that look random and are no secrets. A window that overlaps one is not suspicious; others of the candidate are judged.
 ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"(?i).*(?:example|placeholder|changeme|redacted|dummy).*", re.ASCII),
-    re.compile(r"(?:[A-Za-z]+[-_/])+[A-Za-z]+[-_/]?"),  # words joined to a name or path
+    re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![0-9a-fA-F])"),  # UUID
+    # Marks of examples, with as many of the directly adjoining characters as a window has.
+    re.compile(r"(?i)[a-z0-9]{0,20}(?:example|placeholder|changeme|redacted|dummy)[a-z0-9]{0,20}", re.ASCII),
+    # Words joined to a name or path, no shorter than a window.
+    re.compile(rf"(?<![A-Za-z0-9+])(?=[A-Za-z/_-]{{20}}){_WORD}(?:[-_/]+{_WORD})+(?![A-Za-z0-9+])[-_/]*"),
     re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9-]+"),  # times
-    re.compile(r"(?i).*abcdefghijkl.*|.*0123456789ab.*", re.ASCII),  # alphabets
+    re.compile(r"(?i)0123456789ab(?:cdef(?:ghijklmnopqrstuvwxyz)?)?|abcdefghijkl(?:mnopqrstuvwxyz)?(?:0123456789)?", re.ASCII),  # alphabets
 )
 
 _GAINS = {window: [0.0, 0.0] + [c * log2(c) for c in range(2, window + 1)] for window in THRESHOLDS}
@@ -104,13 +108,18 @@ def class_of(kinds: list[int]) -> str:
     return joints + case + (", digits" if kinds[DIGIT] else "")
 
 
-def judged(candidate: str, window: int) -> list[tuple[int, int]]:
-    """Stretches of a candidate that are covered by windows of at least the entropy of their own class."""
+def judged(candidate: str, window: int, quiet: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of a candidate that are covered by windows of at least the entropy of their own class.
+
+    Windows that overlap one of the ``quiet`` stretches, which are sorted and apart, are left out.
+    """
     gain = _GAINS[window]
     least = {name: (log2(window) - bits) * window + 1e-9 for name, bits in THRESHOLDS[window].items()}
     most = max(least.values())
     counts: dict[str, int] = dict.fromkeys(candidate, 0)
     kinds, total, spans = [0] * 6, 0.0, []
+    ahead = iter([*quiet, (len(candidate), len(candidate))])
+    quiet_from, quiet_to = next(ahead)
     for at, char in enumerate(candidate):
         if at >= window:
             old = candidate[at - window]
@@ -124,6 +133,10 @@ def judged(candidate: str, window: int) -> list[tuple[int, int]]:
         total += gain[n + 1] - gain[n]
         if at >= window - 1 and total <= most and total <= least.get(class_of(kinds), -1.0):
             start = at - window + 1
+            while quiet_to <= start:
+                quiet_from, quiet_to = next(ahead)
+            if quiet_from <= at:
+                continue
             if spans and spans[-1][1] >= start:
                 spans[-1] = (spans[-1][0], at + 1)
             else:
@@ -131,15 +144,21 @@ def judged(candidate: str, window: int) -> list[tuple[int, int]]:
     return spans
 
 
-def stretches(candidate: str) -> list[tuple[int, int]]:
-    """The suspicious stretches of a candidate by windows of all lengths, those that touch joined."""
-    spans: list[tuple[int, int]] = []
-    for start, end in sorted(s for window in THRESHOLDS if len(candidate) >= window for s in judged(candidate, window)):
-        if spans and spans[-1][1] >= start:
-            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
-            spans.append((start, end))
-    return spans
+            out.append((start, end))
+    return out
+
+
+def stretches(candidate: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[tuple[int, int]]:
+    """The suspicious stretches of a candidate by windows of all lengths."""
+    quiet = joined(m.span() for pattern in allowed for m in pattern.finditer(candidate) if m[0])
+    return joined(s for window in THRESHOLDS if len(candidate) >= window for s in judged(candidate, window, quiet))
 
 
 def find_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[tuple[int, int, str]]:
@@ -158,9 +177,7 @@ def find_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[tup
     if longest >= WINDOW:
         base = sorted(spans)
         for m in CANDIDATE.finditer(text):
-            if any(pattern.fullmatch(m[0]) for pattern in allowed):
-                continue
-            for start, end in stretches(m[0]):
+            for start, end in stretches(m[0], allowed):
                 start, end = start + m.start(), end + m.start()
                 if not any(a <= start and end <= b for a, b, _ in base):
                     spans.append((start, end, "entropy"))
