@@ -61,17 +61,18 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id`` and ``print``, the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, words: int, *also: str) -> DataFrame:
+    """``doc_id``, the columns of ``also``, and ``print``, the fingerprint as a signed 64-bit integer."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             made = np.array([fingerprint(text, words) for text in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made)], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(made)], [*kept, "print"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, print long")
+    kept = ["doc_id", *also]
+    kinds = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in kept)
+    return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, print long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -242,30 +243,43 @@ def _hot_links(members: DataFrame, distance: int, hot: int) -> DataFrame:
     )
 
 
-def near_texts(docs: DataFrame, words: int, distance: int, store: Store, hot: int = HOT) -> DataFrame:
-    """``doc_id``, ``print`` and ``component_id`` for each row of ``docs``."""
-    prints = store.write("prints", fingerprints(docs, words))
+def _classes(prints: DataFrame, distance: int, store: Store, hot: int) -> DataFrame:
+    """``print`` and ``star``, the print that names its component, for each of the ``prints``."""
     found = store.write("found", _verified(variants(prints.select("print").distinct(), distance), distance, hot))
     links = found.where("kind = 0").select("a", "b")
     members = found.where("kind = 1")
     if not members.isEmpty():
         links = links.unionByName(store.write("hot", _hot_links(members, distance, hot)).select("a", "b"))
-    stars = components(links, store)
+    return components(links, store).select(F.col("a").alias("print"), F.col("b").alias("star"))
+
+
+def near_texts(docs: DataFrame, words: int, distance: int, store: Store, hot: int = HOT) -> DataFrame:
+    """``doc_id``, ``print`` and ``component_id`` for each row of ``docs``."""
+    prints = store.write("prints", fingerprints(docs, words))
+    stars = _classes(prints, distance, store, hot)
     least = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    grouped = least.join(stars.select(F.col("a").alias("print"), F.col("b").alias("star")), "print", "left").withColumn(
-        "star", F.coalesce("star", "print")
-    )
+    grouped = least.join(stars, "print", "left").withColumn("star", F.coalesce("star", "print"))
     smallest = grouped.groupBy("star").agg(F.min("least").alias("component_id"))
     classes = grouped.join(smallest, "star").select("print", "component_id")
     return prints.join(classes, "print").select("doc_id", "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int, distance: int, store: Store) -> DataFrame:
-    """The documents, one of each component: the one with the smallest ``doc_id``, and one row for it.
+def one_of_each(docs: DataFrame, words: int, distance: int, store: Store, hot: int = HOT) -> DataFrame:
+    """The documents, one row of each component: of those with its smallest ``doc_id``, the one whose whole row hashes least.
 
-    Rows without a ``doc_id`` cannot be told apart by it; they all stay.
+    Unlike texts with one ``doc_id`` are rows of their own components. Rows without a ``doc_id`` all stay.
     """
-    own = free_name(docs, "kept_id")
-    ids = near_texts(docs, words, distance, store).where("doc_id = component_id").select(F.col("doc_id").alias(own))
-    stay = docs.join(ids, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
+    own, kept_id, kept_row = (free_name(docs, name) for name in ("row_hash", "kept_id", "kept_row"))
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    hashed = docs.withColumn(own, F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    prints = store.write("prints", fingerprints(hashed, words, own))
+    stars = _classes(prints, distance, store, hot)
+    first = F.min(F.struct("doc_id", own)).alias("first")
+    least = prints.where("doc_id IS NOT NULL").groupBy("print").agg(first)
+    grouped = least.join(stars, "print", "left").withColumn("star", F.coalesce("star", "print"))
+    rows = grouped.groupBy("star").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias(kept_id), F.col(f"first.{own}").alias(kept_row)
+    )
+    same = (F.col("doc_id") == F.col(kept_id)) & (F.col(own) == F.col(kept_row))
+    stay = hashed.join(rows, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
     return stay.unionByName(docs.where("doc_id IS NULL"))

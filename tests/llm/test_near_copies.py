@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from llm_fixtures import DOCS, awkward, prose
 from tallyhouse.llm import embedding_dedup, queries, simhash
@@ -177,6 +178,18 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(frame.limit(0), 4, 4, Store.fresh(spark, "test")).collect() == []
 
 
+def test_one_of_each_where_ids_are_used_again(spark):
+    a, b, c, d = (prose(seed, 80) for seed in (1, 2, 3, 4))
+    rows = [(7, a, 1), (7, b, 2), (3, b.upper(), 3), (9, c, 4), (9, d, 5), (9, d, 6), (7, a, 1), (None, a, 7), (9, c, 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row_hash int")
+    for some in (frame, frame.repartition(5, "text"), frame.orderBy(F.desc("row_hash"))):
+        got = simhash.one_of_each(some, 4, 4, Store.fresh(spark, "test"))
+        assert got.columns == frame.columns
+        kept = [tuple(r) for r in got.collect()]
+        assert sorted((r[0] or 0, r[1]) for r in kept) == sorted([(0, a), (7, a), (3, b.upper()), (9, c), (9, d)])
+        assert len({r[2] for r in kept if r[1] == d} & {5, 6}) == 1
+
+
 def test_op6_query(spark, small):
     rows = [(r.doc_id, r.text) for r in queries.table(spark, small, "documents").collect()]
     check_texts(rows, queries.op6_simhash_dedup(spark, small).collect())
