@@ -11,7 +11,9 @@ so a source misses its target by half a document at most, and none is taken more
 
 The running sums take two steps: documents are dealt into ``2 ** BUCKET_BITS`` buckets of the drawn order for each
 source, buckets are added up before anything is shuffled, and only rows of one bucket are sorted together. A
-source with a third of all rows is so many small groups. Sizes are written once, so texts are read once.
+source with a third of all rows is so many small groups. Rows without an id have one place in the drawn order, where they
+follow each other by size; they are groups by size and, within a size, by a hash of the text. Sizes are written once, so texts
+are read once.
 
 Defined results: a null text has no words and is taken with none; a null source is a source of its own, the last one; a
 source without words has target 0; an empty table gives an empty plan; rows with one ``doc_id`` count each, and
@@ -32,6 +34,8 @@ from tallyhouse.sources.store import Store
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_BITS = 12
 KEY_BITS = 60
+#: Groups that rows without an id and of one size are dealt into.
+NAMELESS_GROUPS = 64
 
 
 def drawn(doc_id: Column) -> Column:
@@ -69,8 +73,9 @@ def plan(
     ramps: Sequence[float] = (-0.5, 0.0, 0.5),
     total_share: float = 1.5,
     most: int = 2,
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, and ``positions``, one for each time taken."""
+    """A row for each document: doc_id, source, size, source_size, target, ``positions``, one for each time taken, and ``also``."""
     sized = store.write(
         "sized",
         docs.select(
@@ -79,16 +84,25 @@ def plan(
             F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("src"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             drawn(F.col("doc_id")).alias("draw"),
-        ).withColumn("bucket", F.shiftright("draw", KEY_BITS - BUCKET_BITS).cast("int")),
+            F.pmod(F.xxhash64("text"), F.lit(NAMELESS_GROUPS)).cast("int").alias("dealt"),
+            *[F.col(name).alias(f"also_{at}") for at, name in enumerate(also)],
+        )
+        .withColumn("bucket", F.shiftright("draw", KEY_BITS - BUCKET_BITS).cast("int"))
+        # Within the bucket of null ids: what is drawn before them, they by size, what is drawn after them.
+        .withColumn("part", F.when(F.col("doc_id").isNull(), 1).when(F.col("draw") < drawn(F.lit(None)), 0).otherwise(2))
+        .withColumn("part", F.when(F.col("bucket") == F.shiftright(drawn(F.lit(None)), KEY_BITS - BUCKET_BITS), F.col("part")).otherwise(0))
+        .withColumn("level", F.when(F.col("doc_id").isNull(), F.col("size")).otherwise(0))
+        .withColumn("dealt", F.when(F.col("doc_id").isNull(), F.col("dealt")).otherwise(0)),
     )
-    buckets = sized.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
+    group = ["bucket", "part", "level", "dealt"]
+    buckets = sized.groupBy("src", *group).agg(F.sum("size").alias("bucket_size"))
     sources = buckets.groupBy("src").agg(F.sum("bucket_size").alias("source_size"))
     aims = targets(sources.withColumn("nameless", F.col("src") == ""), weights, total_share, most)
-    so_far = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("src").orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("offset", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0))).join(aims, "src")
     ramp = F.element_at(F.array(*[F.lit(float(r)) for r in ramps]), (F.col("rank") % len(ramps) + 1).cast("int"))
-    placed = sized.join(offsets.drop("bucket_size").withColumn("ramp", ramp), ["src", "bucket"])
-    inside = Window.partitionBy("src", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.join(offsets.drop("bucket_size").withColumn("ramp", ramp), ["src", *group])
+    inside = Window.partitionBy("src", *group).orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
 
     def position(turn: int) -> Column:
@@ -104,15 +118,17 @@ def plan(
         "source_size",
         "target",
         F.array_compact(F.array(*[position(turn) for turn in range(most)])).alias("positions"),
+        *[F.col(f"also_{at}").alias(name) for at, name in enumerate(also)],
     )
 
 
 def mixed(docs: DataFrame, store: Store, **settings) -> DataFrame:
     """The documents in training order, a row for each time one is taken, with the columns they had.
 
-    Rows with one ``doc_id`` are taken alike, as often as the one taken most.
+    Rows are written with a number of their own, so each is taken as planned for it, whatever its ``doc_id``.
     """
-    own, when, once = free_name(docs, "planned_id"), free_name(docs, "positions"), free_name(docs, "position")
-    plans = plan(docs, store, **settings).groupBy(F.col("doc_id").alias(own)).agg(F.max("positions").alias(when))
-    taken = docs.join(plans, F.col("doc_id").eqNullSafe(F.col(own))).select(*docs.columns, F.explode(when).alias(once))
+    own, when, once = free_name(docs, "row_number"), free_name(docs, "positions"), free_name(docs, "position")
+    rows = store.write("rows", docs.withColumn(own, F.monotonically_increasing_id()))
+    plans = plan(rows, store, also=(own,), **settings).select(own, F.col("positions").alias(when))
+    taken = rows.join(plans, own).select(*docs.columns, F.explode(when).alias(once))
     return taken.orderBy(once, "doc_id").select(*docs.columns)

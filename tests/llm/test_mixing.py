@@ -93,6 +93,22 @@ def test_mixed_rows(spark):
     assert counts == {doc_id: n for doc_id, n in plan.items() if n}
 
 
+def test_rows_that_share_an_id_keep_their_own_plan(spark):
+    rows = [(None if i % 3 else i % 50, f"text {i} " + "w " * (i % 7), "src%d" % (0 if i % 10 else 1 + i // 10 % 2)) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan(frame, Store.fresh(spark, "test"))
+    key = lambda r: (r[0] or -1, *r[1:3], r[4])
+    have = [(r.doc_id, r.size, r.source_size, r.target, len(r.positions)) for r in plan.collect()]
+    assert sorted(map(key, have)) == sorted(map(key, plain_plan(rows)))
+    got = [tuple(r) for r in mixing.mixed(frame, Store.fresh(spark, "test")).collect()]
+    words: dict = {}
+    for _, text, source in got:
+        words[source] = words.get(source, 0) + len(text.split())
+    for source, target in {(r.source, r.target) for r in plan.collect()}:
+        assert abs(words[source] - target) <= 8
+    assert set(got) <= set(rows) and max(got.count(r) for r in rows) == 2
+
+
 def test_op7_query(spark, small):
     docs = [(r.doc_id, r.text, r.source) for r in queries.table(spark, small, "documents").collect()]
     check(docs, mixing.plan(queries.table(spark, small, "documents"), Store.fresh(spark, "test")).collect())
