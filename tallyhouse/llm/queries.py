@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,13 +14,16 @@ from tallyhouse.llm import (
     bpe,
     embedding_dedup,
     license_scan,
+    merkle,
     mixing,
     quality_classifier,
     quality_rules,
     secret_scan,
     simhash,
+    spelling,
     token_counts,
     token_files,
+    warc,
 )
 from tallyhouse.sources.store import Store
 
@@ -127,6 +131,40 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    archive = warc.write_archive(pages, Store.fresh(spark, "op11"))
+    return warc.captures(archive, pages.select("url", "page_id")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def lower_ascii(column: Column) -> Column:
+    return F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's proof, folded with its leaf, or with that of a text put in lower case for every fifth by checksum."""
+    docs = table(spark, folder, "documents")
+    honest = [F.col(name) for name in merkle.FIELDS]
+    changed = merkle.leaf_hash(*honest[:-1], lower_ascii(F.col("text")))
+    every_fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    claim = F.when(every_fifth, changed).otherwise(merkle.leaf_hash(*honest))
+    proofs = merkle.write_manifest(docs, Store.fresh(spark, "op12"), claim=claim).proofs()
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_hash(F.col("way")).alias("proof_sha256"),
+        merkle.folded(F.col("claim"), F.col("way")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, folder, "documents")), Store.fresh(spark, "op13"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -147,6 +185,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_token_files,
             op9_license_scan,
             op10_quality_rules,
+            op11_warc,
+            op12_merkle,
+            op13_spelling,
             pipeline,
         )
     }

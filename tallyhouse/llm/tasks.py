@@ -9,6 +9,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that is worked on at once in a Python worker; a longer text is a batch of its own.
@@ -54,6 +55,17 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [value or "" for value in batch.column(column).to_pylist()]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark reads it by, so that tasks open the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """A qualified folder's file system and its path there."""
+    return fs.FileSystem.from_uri(folder)
+
+
 def free_name(frame: DataFrame, wanted: str) -> str:
     """``wanted``, or the first longer name that no column of the frame has, in any case of letters."""
     taken = {name.lower() for name in frame.columns}
