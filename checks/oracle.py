@@ -451,6 +451,11 @@ def _action_sql() -> dict[str, str]:
             f"""SELECT *, 'open' AS status, CASE WHEN {EVERY_THIRD} THEN '{AGAIN}' ELSE '{FIRST}' END AS raised_at,
               CAST(CASE WHEN {EVERY_THIRD} THEN 3 ELSE 1 END AS BIGINT) AS run FROM hits""",
         ),
+        "actions_compacted": _with(
+            ACTIONS,
+            f"""SELECT *, 'open' AS status, CASE WHEN {EVERY_THIRD} THEN '{AGAIN}' ELSE '{FIRST}' END AS raised_at,
+              CAST(CASE WHEN {EVERY_THIRD} THEN 3 ELSE 1 END AS BIGINT) AS run FROM hits""",
+        ),
         "rule_audit": _with(f"{ACTIONS}, {_rule_counts(ids)}", "SELECT * FROM rule_counts"),
         "audit_log": _with(AUDIT, "SELECT * FROM audit"),
         "audit_tail": _with(
@@ -597,6 +602,18 @@ def _text_sql() -> dict[str, str]:
             _bm25(DOCUMENTS, BENCHMARK, 3),
             "SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM best",
         ),
+        "passage_search": _with(
+            _bm25(DOCUMENTS, BENCHMARK, 3),
+            "SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM best",
+        ),
+        "passage_search_after_deletion": _with(
+            _bm25(f"{DOCUMENTS} WHERE doc_id % 4 <> 1", BENCHMARK, 3),
+            "SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM best",
+        ),
+        "passage_term_stats": _with(
+            _bm25(DOCUMENTS, BENCHMARK, 3),
+            "SELECT term, df, round(idf, 4) AS idf, round(avgdl, 4) AS avgdl FROM stats",
+        ),
         "chunk_documents": _with(
             SECTIONS,
             """SELECT CAST(doc AS VARCHAR) AS doc, position, title, heading, md5(text) AS text_md5

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.extracts import extracts, spread_table, table, user_questions
@@ -22,6 +22,7 @@ from tallyhouse.operators import actions, bm25, rollups
 from tallyhouse.operators.chunking import chunk_markdown
 from tallyhouse.operators.governed import GovernedSession, as_records
 from tallyhouse.operators.ingest import IngestResult, ingest
+from tallyhouse.operators.passage_index import PassageIndex
 from tallyhouse.plans import marts as mart_plans
 from tallyhouse.plans import metrics, questions
 from tallyhouse.plans.marts import Marts
@@ -36,6 +37,7 @@ RUN_AGAIN_AT = datetime(2024, 2, 2, 9, 0, 0)
 
 _QUERIES: dict[str, Query] = {}
 _written: dict[tuple[str, str, bool], IngestResult | Marts] = {}
+_indexed: dict[tuple[str, str], PassageIndex] = {}
 _lock = threading.Lock()
 
 
@@ -352,30 +354,65 @@ def action_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return actions.action_metrics(_first_run(spark, folder))
 
 
+def _log(spark: SparkSession, folder: str) -> actions.ActionLog:
+    """A log on disk after one run over the marts."""
+    marts(spark, folder).register()
+    log = actions.ActionLog(spark, Store.fresh(spark, "action-log").folder)
+    log.run_rules(load_rules(), at=RUN_AT)
+    return log
+
+
+def _reopened(log: actions.ActionLog) -> actions.ActionLog:
+    """The same folder, as a later application opens it."""
+    return actions.ActionLog(log.spark, log.folder)
+
+
+def _third() -> Column:
+    return F.substring("customer_id", 3, 20).cast("bigint") % 3 == 0
+
+
 @_query
 def actions_second_run(spark: SparkSession, folder: str) -> DataFrame:
     """The state after running twice: every action still dates from the first run."""
-    log = _first_run(spark, folder)
-    again = actions.new_actions(_hits(spark, folder), log, RUN_AGAIN_AT, 2)
-    return plain(actions.state(log.unionByName(again)))
+    log = _reopened(_log(spark, folder))
+    log.run_rules(load_rules(), at=RUN_AGAIN_AT)
+    return plain(_with_turns(actions.state(log.entries()), log))
 
 
 @_query
 def actions_reopen(spark: SparkSession, folder: str) -> DataFrame:
     """Run, close the actions of every third customer, run again: the closed ones open anew."""
-    log = _first_run(spark, folder)
-    third = F.substring("customer_id", 3, 20).cast("bigint") % 3 == 0
-    log = log.unionByName(actions.closing(log, third, 2))
-    again = actions.new_actions(_hits(spark, folder), log, RUN_AGAIN_AT, 3)
-    return plain(actions.state(log.unionByName(again)))
+    log = _log(spark, folder)
+    log.close(_third())
+    log = _reopened(log)
+    log.run_rules(load_rules(), at=RUN_AGAIN_AT)
+    return plain(_with_turns(actions.state(log.entries()), log))
+
+
+@_query
+def actions_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``actions_reopen``, read from the one part that is left after compaction."""
+    log = _log(spark, folder)
+    log.close(_third())
+    log.run_rules(load_rules(), at=RUN_AGAIN_AT)
+    log.compact()
+    return plain(_with_turns(_reopened(log).entries(), log))
+
+
+def _with_turns(entries: DataFrame, log: actions.ActionLog) -> DataFrame:
+    """Runs are numbered by the clock; the check numbers them as the log's versions, the closing being the second."""
+    turn = None
+    for number in reversed(log.versions.numbers()):
+        made = F.when(F.col("run") == log.versions.read(number).content["run"], number)
+        turn = made if turn is None else made.otherwise(turn)
+    return entries.withColumn("run", turn.cast("bigint"))
 
 
 @_query
 def rule_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Per rule, matches and new actions of a run with two thirds of the actions open already."""
     log = _first_run(spark, folder)
-    third = F.substring("customer_id", 3, 20).cast("bigint") % 3 == 0
-    log = log.unionByName(actions.closing(log, third, 2))
+    log = log.unionByName(actions.closing(log, _third(), 2))
     hits = _hits(spark, folder)
     return actions.rule_audit(hits, actions.new_actions(hits, log, RUN_AGAIN_AT, 3), load_rules())
 
@@ -426,6 +463,42 @@ def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
     return plain(bm25.search(_chunks(spark, folder), asked, store=Store.fresh(spark, "search")))
 
 
+def _passage_index(spark: SparkSession, folder: str) -> PassageIndex:
+    """The kept index of all documents, built once for each application and folder: nine tenths, then the rest."""
+    key = (spark.sparkContext.applicationId, folder)
+    with _lock:
+        if key not in _indexed:
+            chunks, last = _chunks(spark, folder), F.col("chunk_id") % 10 == 9
+            index = PassageIndex.open(spark, Store.fresh(spark, "passages").folder)
+            _indexed[key] = index.add(chunks.filter(~last)).add(chunks.filter(last))
+        return _indexed[key]
+
+
+def _passages_asked(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@_query
+def passage_search(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``bm25_search``, over the kept index: two segments, most pairs never scored."""
+    return plain(_passage_index(spark, folder).search(_passages_asked(spark, folder)).best)
+
+
+@_query
+def passage_search_after_deletion(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search after every fourth document has been taken out of a copy of the index."""
+    chunks = _chunks(spark, folder)
+    index = PassageIndex.open(spark, Store.fresh(spark, "passages").folder).add(chunks)
+    index = index.delete(chunks.filter(F.col("chunk_id") % 4 == 1))
+    return plain(index.search(_passages_asked(spark, folder)).best)
+
+
+@_query
+def passage_term_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Document frequencies summed over the segments of the kept index."""
+    return plain(_passage_index(spark, folder).term_stats())
+
+
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as Markdown: each line opens a section headed by its first sentence, and a line
     with an e-mail address sets a new title."""

@@ -7,14 +7,17 @@ highest run number; nothing is updated in place.
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.sources.audit import AuditLog
 from tallyhouse.sources.store import Store
+from tallyhouse.sources.versions import Version, Versions
 
 SCHEMA = (
     "action_key string, rule_id string, rule_name string, priority string, owner string, "
@@ -24,6 +27,8 @@ SCHEMA = (
 COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
 MANAGER = "account_manager"  # an owner that stands for the manager of the account
 OPEN = "open"
+# A log of more parts than this is compacted after a run.
+MOST_PARTS = 32
 HIT = ("customer_id", "company_name", "account_manager", "reason")
 
 
@@ -161,25 +166,54 @@ def rule_audit(hits: DataFrame, raised: DataFrame, rules: list[dict]) -> DataFra
 
 
 class ActionLog:
-    """The action log as a Parquet folder that only ever grows; it outlives mart rebuilds.
+    """The action log of a folder; it outlives mart rebuilds.
 
-    Runs are numbered by the clock in nanoseconds, and above all earlier ones. Should two runs at
-    once raise the same action, the log has two entries for it and its state is the later one.
+    Entries lie in parts, Parquet folders that are never changed. A version of the log names its parts, so readers hold on
+    to what they opened. A run that finds another one committed before it decides again on top of that, so an action is
+    raised once however many runs there are at a time. Runs are numbered by the clock in nanoseconds, and above all
+    earlier ones. ``compact`` keeps the latest entry of each action, so a run reads no more than that and what is new.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.folder = folder
-        empty_log(spark).write.mode("ignore").parquet(folder)
+        self.folder = folder.rstrip("/")
+        self.versions = Versions(spark, self.folder)
 
-    def entries(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.folder)
+    def snapshot(self) -> Version:
+        """The log as it is now."""
+        return self.versions.latest()
 
-    def _next_run(self) -> int:
-        return max(time.time_ns(), (self.entries().agg(F.max("run")).first()[0] or 0) + 1)
+    def entries(self, version: Version | None = None) -> DataFrame:
+        """The entries of a version; of the latest one if none is given."""
+        parts = (version or self.snapshot()).content.get("parts", [])
+        if not parts:
+            return empty_log(self.spark)
+        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.folder}/{part}" for part in parts))
 
-    def _append(self, entries: DataFrame) -> None:
-        entries.write.mode("append").parquet(self.folder)
+    def _next_run(self, version: Version | None = None) -> int:
+        return max(time.time_ns(), (version or self.snapshot()).content.get("run", 0) + 1)
+
+    def _part(self, entries: DataFrame) -> tuple[str, int]:
+        """Entries as a part that no version names yet, and their number."""
+        name = f"part-{uuid.uuid4().hex}"
+        seen = Observation()
+        counted = entries.observe(seen, F.count("*").alias("rows"))
+        counted.write.parquet(f"{self.folder}/{name}")
+        return name, seen.get["rows"]
+
+    def _change(self, make: Callable[[Version, int], DataFrame]) -> Version:
+        """Commit the entries that ``make`` makes of a version and a run number; nothing if there are none."""
+
+        def content(now: Version) -> dict | None:
+            run = self._next_run(now)
+            name, rows = self._part(make(now, run))
+            return {"parts": [*now.content.get("parts", []), name], "run": run} if rows else None
+
+        version = self.versions.change(content)
+        return self.compact() if len(version.content.get("parts", [])) > MOST_PARTS else version
+
+    def _append(self, entries: DataFrame) -> Version:
+        return self._change(lambda now, run: entries)
 
     def run_rules(
         self, rules: list[dict], audit: AuditLog | None = None, at: datetime | None = None
@@ -188,20 +222,36 @@ class ActionLog:
 
         The hits are written first, so each rule's SQL runs once for the log and the audit.
         """
-        run = self._next_run()
         hits = Store.fresh(self.spark, "actions").write("hits", all_hits(self.spark, rules))
-        self._append(new_actions(hits, self.entries(), at or datetime.now(), run))
+        moment, raised = at or datetime.now(), []
+
+        def fresh(now: Version, run: int) -> DataFrame:
+            raised[:] = [now, run]
+            return new_actions(hits, self.entries(now), moment, run)
+
+        after = self._change(fresh)
         if audit:
-            raised = self.entries().filter(F.col("run") == run)
-            counts = rule_audit(hits, raised, rules)
+            before, run = raised
+            counts = rule_audit(hits, self.entries(after).filter(F.col("run") == run), rules)
             audit.record_rows(
                 counts,
                 "automation",
                 F.col("rule_id"),
                 {"matches": F.col("matches"), "new_actions": F.col("new_actions")},
             )
-        return open_actions(self.entries())
+        return open_actions(self.entries(after))
 
     def close(self, which: Column) -> None:
         """Close the open actions for which a condition holds."""
-        self._append(closing(self.entries(), which, self._next_run()))
+        self._change(lambda now, run: closing(self.entries(now), which, run))
+
+    def compact(self) -> Version:
+        """A version of one part, with the latest entry of each action. Earlier versions stay as they are."""
+
+        def content(now: Version) -> dict | None:
+            if len(now.content.get("parts", [])) < 2:
+                return None
+            name, _ = self._part(state(self.entries(now)))
+            return {"parts": [name], "run": now.content["run"]}
+
+        return self.versions.change(content)

@@ -42,6 +42,59 @@ def test_the_later_of_two_runs_at_once_counts(spark, tmp_path):
     assert log._next_run() > 2
 
 
+def test_two_interleaved_runs_raise_an_action_once(spark, tmp_path, monkeypatch):
+    """The first run has decided what is new when the second one commits; it decides again and finds nothing."""
+    one, two = ActionLog(spark, str(tmp_path / "log")), ActionLog(spark, str(tmp_path / "log"))
+    write, overtaken = one._part, []
+
+    def slowly(entries):
+        part = write(entries)
+        if not overtaken:
+            overtaken.append(two.run_rules(load_rules(), at=SECOND).count())
+        return part
+
+    monkeypatch.setattr(one, "_part", slowly)
+    work = one.run_rules(load_rules(), at=FIRST).collect()
+    assert len(work) == overtaken[0] == one.entries().count() > 0
+    assert {r.raised_at for r in work} == {SECOND} and one.snapshot().number == 1
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    log = ActionLog(spark, str(tmp_path / "log"))
+    before = log.snapshot()
+    work = log.run_rules(load_rules(), at=FIRST)
+    opened = log.snapshot()
+    log.close(F.lit(True))
+    log.compact()
+    assert actions.open_actions(log.entries()).collect() == []
+    assert log.entries(before).collect() == []
+    assert keyed(actions.open_actions(log.entries(opened))) == keyed(work) != {}
+
+
+def test_compaction_leaves_the_state(spark, tmp_path):
+    log = ActionLog(spark, str(tmp_path / "log"))
+    log.run_rules(load_rules(), at=FIRST)
+    log.close(F.col("rule_id") == "churn_risk_review")
+    log.run_rules(load_rules(), at=SECOND)
+    entries, states = log.entries().count(), set(actions.state(log.entries()).collect())
+    version = log.compact()
+    assert len(version.content["parts"]) == 1 and log.entries().count() == len(states) < entries
+    assert set(actions.state(log.entries()).collect()) == states
+    assert log.compact().number == version.number  # nothing left to do
+    again = log.run_rules(load_rules(), at=datetime(2024, 1, 3, 8))
+    assert log.snapshot().number == version.number and again.count() == len(states)
+
+
+def test_many_parts_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(actions, "MOST_PARTS", 3)
+    log = ActionLog(spark, str(tmp_path / "log"))
+    for turn in range(3):
+        log.run_rules(load_rules(), at=FIRST)
+        log.close(F.col("owner") == "finance")
+    assert len(log.snapshot().content["parts"]) <= 3
+    assert {r.status for r in actions.state(log.entries()).collect()} == {"open", "closed"}
+
+
 def test_a_closed_action_opens_again(spark, tmp_path):
     log = ActionLog(spark, str(tmp_path / "log"))
     first = keyed(log.run_rules(load_rules(), at=FIRST))
