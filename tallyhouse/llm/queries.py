@@ -74,7 +74,7 @@ def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, folder, "labels")))
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, folder, "labels"), Store.fresh(spark, "op4")))
 
 
 def span_string(kinds: tuple[str, ...]) -> Column:
@@ -117,7 +117,7 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     shards = Store.fresh(spark, "op8").path("shards")
     token_files.write_shards(table(spark, folder, "documents"), shards, VOCABULARY, END_ID)
-    return token_files.with_checksums(token_files.read_shards(spark, shards))
+    return token_files.read_checksums(spark, shards)
 
 
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:

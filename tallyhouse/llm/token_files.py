@@ -11,16 +11,17 @@ all little-endian. ``.index`` has an entry for each frame: the offset of the fra
 one, and its number of ids; with it, any record is read by itself in any order. The mask (rotate and add) keeps a
 checksum of data that holds checksums from being trivial; checksums are CRC-32.
 
-Documents are range-partitioned and sorted by ``doc_id``; each task writes one shard under a name of its own and
-reports it. The manifest, written by Spark, lists the shards of the tasks that succeeded, so files of lost or repeated
-tasks are never read. The folder can be on any file system that pyarrow opens.
+Documents are encoded where they are read; what is range-partitioned and sorted by ``doc_id`` is their ids. Each task
+writes one shard under a name of its own and reports it. The manifest, written by Spark, lists the shards of the tasks
+that succeeded, so files of lost or repeated tasks are never read. The folder can be on any file system that pyarrow opens.
 
 Defined results: a null or empty text has no ids but the end id; a null ``doc_id`` sorts first; rows with one ``doc_id``
-follow each other by text; an empty table gives an empty manifest. Other columns are left out.
+follow each other by their ids' bytes; an empty table gives an empty manifest. Other columns are left out.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -30,14 +31,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.byte_pairs import Pieces
-from tallyhouse.llm.tasks import bounded, ship, texts
+from tallyhouse.llm.tasks import bounded, opened, qualified, ship, texts
 
 #: Pre-tokens and pieces whose ids a worker remembers, and pre-tokens that the library encodes at once.
 REMEMBERED, LINES = 180_000, 1000
@@ -46,8 +46,20 @@ ENTRY = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("has_id", "<u1"), ("n_t
 MANIFEST = "shard int, name string, documents long, tokens long, width int"
 
 
+def cuts_as_assumed(path: str) -> bool:
+    """Whether a vocabulary cuts texts as ``byte_pairs`` does: bytes, the usual pattern, nothing put in or normalised."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    cut, added = content.get("pre_tokenizer") or {}, content.get("added_tokens") or []
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+    bare = not any(token.get(kind) for token in added for kind in ("lstrip", "rstrip", "single_word"))
+    return plain and bare and not content.get("normalizer")
+
+
 class LibraryPairs(Pieces):
-    """Texts to ids by the tokenizers library, which encodes each different pre-token once; the rest is remembered."""
+    """Texts to ids by the tokenizers library, which encodes each different pre-token once; the rest is remembered.
+
+    That needs a vocabulary that cuts texts as assumed; for any other one the library gets whole texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,6 +71,13 @@ class LibraryPairs(Pieces):
         special = {token.content: i for i, token in self.library.get_added_tokens_decoder().items()}
         super().__init__(special, REMEMBERED)
         self.line_end = self._ids(["\n"])[0].tolist()
+        self.by_pieces = cuts_as_assumed(path)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.by_pieces:
+            return super().encode_flat(texts)
+        ids = self._ids(texts)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(one) for one in ids], np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(one.ids, np.uint32) for one in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,36 +128,55 @@ def unframed(stream, where: str) -> bytes:
     return payload
 
 
-def _opened(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """``doc_id`` and ``ids``: the document's ids and the end id, as wide as the vocabulary needs."""
+    ship(docs.sparkSession)
+    width = id_width(vocabulary, end_id)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = library(vocabulary)
+        for batch in bounded(batches, "text", 3 << 20):
+            flat, counts = pairs.encode_flat(texts(batch))
+            ends = np.cumsum(counts)
+            flat = np.insert(flat, ends, end_id).astype(f"<u{width}")
+            offsets = np.r_[0, ends + np.arange(1, len(ends) + 1)] * width
+            ids = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids.cast(pa.binary())], ["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+
+
+@lru_cache(maxsize=8)
+def id_width(vocabulary: str, end_id: int) -> int:
+    """Bytes of an id."""
+    return 2 if max(len(library(vocabulary)), end_id + 1) <= 1 << 16 else 4
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
     """Write the documents' ids below ``folder`` and return the manifest as written."""
     spark = docs.sparkSession
     ship(spark)
+    folder, width = qualified(spark, folder), id_width(vocabulary, end_id)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, name = library(vocabulary), f"shard-{uuid.uuid4().hex}"
-        width = 2 if max(len(pairs), end_id + 1) <= 1 << 16 else 4
-        end = np.uint32(end_id)
+        name = f"shard-{uuid.uuid4().hex}"
         rows = tokens = offset = 0
         store = records = index = None
-        for batch in bounded(batches, "text", 3 << 20):
+        for batch in bounded(batches, "ids", 3 << 20):
             if records is None:
-                store, top = _opened(folder)
+                store, top = opened(folder)
                 store.create_dir(top, recursive=True)
                 records = store.open_output_stream(f"{top}/{name}.records")
                 index = store.open_output_stream(f"{top}/{name}.index")
             entries = np.zeros(batch.num_rows, ENTRY)
-            for at, (doc_id, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), pairs.encode_many(texts(batch)))):
-                whole = np.append(ids, end)
-                framed = frame(whole.astype(f"<u{width}").tobytes())
-                entries[at] = (offset, doc_id or 0, doc_id is not None, len(whole))
+            for at, (doc_id, payload) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist())):
+                framed = frame(payload)
+                entries[at] = (offset, doc_id or 0, doc_id is not None, len(payload) // width)
                 records.write(framed)
-                offset, tokens = offset + len(framed), tokens + len(whole)
+                offset += len(framed)
             index.write(entries.tobytes())
             rows += batch.num_rows
+            tokens += int(entries["n_tokens"].sum())
         if records is not None:
             records.close()
             index.close()
@@ -148,53 +186,73 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
                 [part.split()[0] for part in MANIFEST.split(", ")],
             )
 
-    sorted_docs = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    )
-    sorted_docs.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    # Written, so that neither the sample for the range bounds nor a lost shuffle file encodes a text again.
+    encoded(docs, vocabulary, end_id).write.parquet(f"{folder}/encoded")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("ids")]
+    placed = spark.read.parquet(f"{folder}/encoded").repartitionByRange(order[0]).sortWithinPartitions(*order)
+    placed.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id``, ``start`` (ids of all documents before it) and ``ids`` of every record, checked as it is read."""
+def _blocks(store: fs.FileSystem, top: str, name: str, width: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """The index of a shard a stretch at a time, with the payloads, checked."""
+    with store.open_input_stream(f"{top}/{name}.index") as index, store.open_input_stream(f"{top}/{name}.records") as records:
+        while block := index.read(1000 * ENTRY.itemsize):
+            entries, payloads = np.frombuffer(block, ENTRY), []
+            for n in entries["n_tokens"].tolist():
+                payloads.append(unframed(records, name))
+                if len(payloads[-1]) != n * width:
+                    raise ValueError(f"Index and records of {name} do not agree")
+            yield entries, payloads
+
+
+def _each_shard(spark: SparkSession, folder: str, columns: str, packed) -> DataFrame:
+    """What ``packed`` makes of payloads and their width, beside ``doc_id`` and ``start``; shards are spread over tasks."""
     ship(spark)
+    folder = qualified(spark, folder)
     manifest = spark.read.parquet(f"{folder}/manifest")  # a row for each shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
+    names = ["doc_id", "start", *[part.split()[0] for part in columns.split(", ")]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = _opened(folder)
+        store, top = opened(folder)
         for batch in batches:
             for name, width, start in zip(*(batch.column(c).to_pylist() for c in ("name", "width", "start"))):
-                with store.open_input_stream(f"{top}/{name}.index") as index, store.open_input_stream(f"{top}/{name}.records") as records:
-                    while block := index.read(1000 * ENTRY.itemsize):
-                        entries = np.frombuffer(block, ENTRY)
-                        parts = []
-                        for n in entries["n_tokens"].tolist():
-                            payload = unframed(records, name)
-                            if len(payload) != n * width:
-                                raise ValueError(f"Index and records of {name} do not agree")
-                            parts.append(np.frombuffer(payload, f"<u{width}").astype(np.int32))
-                        ends = np.cumsum(np.r_[0, entries["n_tokens"]], dtype=np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(entries["doc_id"], mask=entries["has_id"] == 0),
-                                pa.array(start + ends[:-1]),
-                                pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(np.concatenate(parts))),
-                            ],
-                            ["doc_id", "start", "ids"],
-                        )
-                        start += int(ends[-1])
+                for entries, payloads in _blocks(store, top, name, width):
+                    ends = start + np.cumsum(np.r_[0, entries["n_tokens"]], dtype=np.int64)
+                    ids = pa.array(entries["doc_id"], mask=entries["has_id"] == 0)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(ends[:-1]), *packed(payloads, width)], names)
+                    start = int(ends[-1])
 
     shards = max(1, manifest.count())
-    return placed.repartition(shards, "shard").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return placed.repartition(shards, "shard").mapInArrow(run, f"doc_id long, start long, {columns}")
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id``, ``start`` (ids of all documents before it) and ``ids`` of every record, checked as it is read."""
+
+    def packed(payloads: list[bytes], width: int) -> list[pa.Array]:
+        ends = np.cumsum([0, *map(len, payloads)]) // width
+        flat = np.frombuffer(b"".join(payloads), f"<u{width}").astype(np.int32)
+        return [pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat))]
+
+    return _each_shard(spark, folder, "ids array<int>", packed)
+
+
+def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` (of the ids as little-endian 32-bit integers) of every record."""
+
+    def packed(payloads: list[bytes], width: int) -> list[pa.Array]:
+        checks = [zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4")) for payload in payloads]
+        return [pa.array([len(payload) // width for payload in payloads], pa.int64()), pa.array(checks, pa.int64())]
+
+    return _each_shard(spark, folder, "n_tokens long, ids_crc32 long", packed)
 
 
 def read_record(folder: str, name: str, at: int, width: int = 2) -> tuple[int | None, list[int]]:
     """One record of a shard, found by its place in the index: document id and ids."""
-    store, top = _opened(folder)
+    store, top = opened(folder)
     with store.open_input_file(f"{top}/{name}.index") as index:
         index.seek(at * ENTRY.itemsize)
         entry = np.frombuffer(index.read(ENTRY.itemsize), ENTRY)[0]
@@ -202,19 +260,3 @@ def read_record(folder: str, name: str, at: int, width: int = 2) -> tuple[int |
         records.seek(int(entry["offset"]))
         payload = unframed(records, name)
     return int(entry["doc_id"]) if entry["has_id"] else None, np.frombuffer(payload, f"<u{width}").tolist()
-
-
-def with_checksums(records: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` (of the ids as little-endian 32-bit integers)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.flatten().to_numpy().astype("<u4"), np.cumsum([0, *pc.list_value_length(ids).to_pylist()])
-            checks = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(checks, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return records.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import regex
 from tokenizers import Tokenizer
@@ -161,7 +162,7 @@ def test_op1_query(spark, small, library):
 
 def shard_digests(spark, docs, folder):
     token_files.write_shards(docs, folder, queries.VOCABULARY, 2)
-    return token_files.with_checksums(token_files.read_shards(spark, folder)).collect()
+    return token_files.read_checksums(spark, folder).collect()
 
 
 def test_token_files_round_trip(spark, library, docs):
@@ -202,3 +203,14 @@ def test_op8_query(spark, small, library):
         want = [*ids(library, doc.text), 2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         start += len(want)
+
+
+def test_other_vocabularies_get_whole_texts(spark, docs):
+    """A vocabulary that normalises and cuts in its own way: nothing is assumed about it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_files.cuts_as_assumed(queries.VOCABULARY) and not token_files.cuts_as_assumed(path)
+    other, folder = Tokenizer.from_file(path), Store.fresh(spark, "test").path("shards")
+    token_files.write_shards(docs, folder, path, 49407)
+    texts = {r[0]: r[1] or "" for r in awkward()}
+    for r in token_files.read_shards(spark, folder).where("doc_id IS NOT NULL").collect():
+        assert r.ids == [*other.encode(texts[r.doc_id], add_special_tokens=False).ids, 49407]
