@@ -345,7 +345,8 @@ def captures(archive: Archive, wanted: DataFrame, payloads: bool = False) -> Dat
     names = ["key", "page_id"] if one else ["key"]
     keyed = wanted.select(url_key(F.col("url")).alias("key"), *([F.col("page_id").cast("long").alias("page_id")] if one else []))
     keys = [F.col(name).asc_nulls_first() for name in names]
-    asked = keyed.distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # A look-up is a few bytes here and a record there, so as many tasks as archives, whatever the bytes.
+    asked = keyed.distinct().repartitionByRange(max(1, len(shards)), *keys).sortWithinPartitions(*keys)
     columns = [part.split()[0] for part in FOUND.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
