@@ -15,8 +15,8 @@ from tallyhouse.sources.store import Store
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of good quality; the classifier learns from the labels and from these documents."""
-    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    """Documents of good quality; the classifier learns from the labels and from all these documents."""
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), Store.fresh(spark, "pipeline-quality"))
     return quality_classifier.good_documents(docs, model)
 
 
