@@ -297,6 +297,30 @@ def _mart_sql() -> dict[str, str]:
             f"""SELECT customer_id, company_name, sector, town, account_manager, {since}, seats, {_WIDE_PLAIN}
             FROM customer_360 ORDER BY health_score, customer_id""",
         ),
+        "customer_360_by_month": _with(
+            WIDE,
+            f"""SELECT customer_id, company_name, sector, town, account_manager, {since}, seats, {_WIDE_PLAIN}
+            FROM customer_360 ORDER BY health_score, customer_id""",
+        ),
+        "fact_invoice_by_month": _with(
+            INVOICES,
+            """SELECT * EXCLUDE (pence) REPLACE (CAST(issued_date AS VARCHAR) AS issued_date,
+              CAST(paid_date AS VARCHAR) AS paid_date, round(amount_gbp, 4) AS amount_gbp,
+              CAST(days_to_pay AS DOUBLE) AS days_to_pay, CAST(days_outstanding AS DOUBLE) AS days_outstanding)
+            FROM fact_invoice""",
+        ),
+        "fact_ticket_by_month": _with(
+            TICKETS,
+            """SELECT * REPLACE (CAST(opened_at AS VARCHAR) AS opened_at,
+              CAST(resolved_at AS VARCHAR) AS resolved_at, round(resolution_hours, 4) AS resolution_hours,
+              CAST(csat_score AS DOUBLE) AS csat_score)
+            FROM fact_ticket""",
+        ),
+        "revenue_of_a_year": _with(
+            INVOICES,
+            """SELECT CAST(issued_date AS VARCHAR) AS issued_date, product, count(*) AS invoices, sum(pence) / 100 AS amount_gbp
+            FROM fact_invoice WHERE year(issued_date) = 2000 GROUP BY ALL""",
+        ),
         "health_score_components": _with(
             WIDE,
             """SELECT customer_id, round(breach_points, 4) AS breach_points, round(debt_points, 4) AS debt_points,

@@ -115,13 +115,19 @@ def customer_metrics(
 
     Every rollup is partitioned by customer_id already, so the joins move only the customers.
     """
-    joined = customers
-    for rollup in (
+    return beside(
+        customers,
         rollups.revenue(invoices),
         rollups.overdue_debt(invoices),
         rollups.tickets_90d(tickets),
         rollups.usage_trend(usage),
-    ):
+    )
+
+
+def beside(customers: DataFrame, *per_customer: DataFrame) -> DataFrame:
+    """Customers with rollups of one row each beside them, gaps filled."""
+    joined = customers
+    for rollup in per_customer:
         joined = joined.join(rollup, "customer_id", "left")
     return joined.select(*customers.columns, *(_metric(name) for name in EMPTY))
 
@@ -139,8 +145,11 @@ def customer_360(
     customers: DataFrame, invoices: DataFrame, tickets: DataFrame, usage: DataFrame
 ) -> DataFrame:
     """One wide row per customer with the health score."""
-    score = health_score(*(F.col(name) for name in _SCORED))
-    return customer_metrics(customers, invoices, tickets, usage).withColumn("health_score", score)
+    return scored(customer_metrics(customers, invoices, tickets, usage))
+
+
+def scored(metrics: DataFrame) -> DataFrame:
+    return metrics.withColumn("health_score", health_score(*(F.col(name) for name in _SCORED)))
 
 
 def health_components(wide: DataFrame) -> DataFrame:
