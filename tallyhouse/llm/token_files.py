@@ -11,8 +11,8 @@ all little-endian. ``.index`` has an entry for each frame: the offset of the fra
 one, and its number of ids; with it, any record is read by itself in any order. The mask (rotate and add) keeps a
 checksum of data that holds checksums from being trivial; checksums are CRC-32.
 
-Documents are encoded where they are read; what is range-partitioned and sorted by ``doc_id`` is their ids. Each task
-writes one shard under a name of its own and reports it. The manifest, written by Spark, lists the shards of the tasks
+Shards are ranges of ``doc_id``, cut at quantiles that are read off that column alone. Documents are encoded where they
+are read; what moves to its shard and is sorted there is their ids. Each task writes one shard under a name of its own and reports it. The manifest, written by Spark, lists the shards of the tasks
 that succeeded, so files of lost or repeated tasks are never read. The folder can be on any file system that pyarrow opens.
 
 Defined results: a null or empty text has no ids but the end id; a null ``doc_id`` sorts first; rows with one ``doc_id``
@@ -40,7 +40,7 @@ from tallyhouse.llm.byte_pairs import Pieces
 from tallyhouse.llm.tasks import bounded, opened, qualified, ship, texts
 
 #: Pre-tokens and pieces whose ids a worker remembers, and pre-tokens that the library encodes at once.
-REMEMBERED, LINES = 180_000, 1000
+REMEMBERED, LINES = 400_000, 1000
 MASK_DELTA = 0xA282EAD8
 ENTRY = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("has_id", "<u1"), ("n_tokens", "<u4")])
 MANIFEST = "shard int, name string, documents long, tokens long, width int"
@@ -128,22 +128,33 @@ def unframed(stream, where: str) -> bytes:
     return payload
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """``doc_id`` and ``ids``: the document's ids and the end id, as wide as the vocabulary needs."""
+def cuts_of(docs: DataFrame, shards: int) -> list[int]:
+    """The ids that cut documents into about equal ranges, ascending; a range ends with its cut."""
+    if shards < 2:
+        return []
+    shares = [at / shards for at in range(1, shards)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 20 * shards).alias("cuts")).first().cuts
+    return sorted(set(found or []))
+
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int]) -> DataFrame:
+    """``shard``, ``doc_id`` and ``ids``: the document's ids and the end id, as wide as the vocabulary needs."""
     ship(docs.sparkSession)
     width = id_width(vocabulary, end_id)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = library(vocabulary)
+        pairs, ends_of = library(vocabulary), np.array(cuts, np.int64)
         for batch in bounded(batches, "text", 3 << 20):
             flat, counts = pairs.encode_flat(texts(batch))
             ends = np.cumsum(counts)
             flat = np.insert(flat, ends, end_id).astype(f"<u{width}")
             offsets = np.r_[0, ends + np.arange(1, len(ends) + 1)] * width
             ids = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids.cast(pa.binary())], ["doc_id", "ids"])
+            doc_id = batch.column("doc_id")
+            shard = np.searchsorted(ends_of, doc_id.fill_null(-(1 << 63)).to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), doc_id, ids.cast(pa.binary())], ["shard", "doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard int, doc_id long, ids binary")
 
 
 @lru_cache(maxsize=8)
@@ -186,10 +197,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
                 [part.split()[0] for part in MANIFEST.split(", ")],
             )
 
-    # Written, so that neither the sample for the range bounds nor a lost shuffle file encodes a text again.
-    encoded(docs, vocabulary, end_id).write.parquet(f"{folder}/encoded")
+    cuts = cuts_of(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").asc_nulls_first(), F.col("ids")]
-    placed = spark.read.parquet(f"{folder}/encoded").repartitionByRange(order[0]).sortWithinPartitions(*order)
+    placed = encoded(docs, vocabulary, end_id, cuts).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(*order)
     placed.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
