@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import parsing
 from tallyhouse.functions.keys import canonical_key
+from tallyhouse.operators.key_filter import KeyFilter
 from tallyhouse.sources.files import MALFORMED
 from tallyhouse.sources.store import Store
 
@@ -24,10 +25,12 @@ CUSTOMER = "customer"
 UNKNOWN_KEY = "unrecognised customer key"
 BAD_LINE = "wrong number of fields"
 ORPHAN = "no matching CRM account (quarantined)"
-# Above this many unknown keys they are joined by shuffle instead of broadcast.
+# Above this many unknown keys a Bloom filter of them is sent to the facts instead of the keys.
 BROADCAST_KEYS = 500_000
+# Facts that a filter lets pass are joined in so many parts for each key.
+SALTS = 16
 
-_ROW, _ISSUES, _ORPHAN, _MALFORMED = "_row", "_issues", "_orphan", "_malformed"
+_ROW, _ISSUES, _ORPHAN, _MALFORMED, _SALT = "_row", "_issues", "_orphan", "_malformed", "_salt"
 
 
 def _issue(source: str, field: str, problem: str) -> Column:
@@ -88,15 +91,41 @@ def unknown_keys(facts: DataFrame, known: DataFrame) -> DataFrame:
     return keys.join(known, KEY, "left_anti")
 
 
-def mark_orphans(facts: DataFrame, orphans: DataFrame) -> DataFrame:
-    """Mark facts of unknown customers. Rows without a readable key pass by the join: by a
-    shuffle all of them would go to one task."""
+def _marked(facts: DataFrame, orphans: DataFrame) -> DataFrame:
     marks = orphans.select(KEY, F.lit(True).alias(_ORPHAN))
-    keyed = facts.filter(F.col(KEY).isNotNull()).join(marks, KEY, "left")
-    keyed = keyed.withColumn(_ORPHAN, F.coalesce(_ORPHAN, F.lit(False)))
+    return facts.join(marks, KEY, "left").withColumn(_ORPHAN, F.coalesce(_ORPHAN, F.lit(False)))
+
+
+def mark_orphans(facts: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Mark facts of unknown customers, by a broadcast or a shuffle as Spark sees fit. Rows without a readable key
+    pass by the join: by a shuffle all of them would go to one task."""
+    keyed = _marked(facts.filter(F.col(KEY).isNotNull()), orphans)
     return keyed.unionByName(facts.filter(F.col(KEY).isNull()).withColumn(_ORPHAN, F.lit(False)))
 
 
+def mark_few_orphans(facts: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Mark facts by a counted broadcast: one scan, no row moves."""
+    return _marked(facts, F.broadcast(orphans))
+
+
+def mark_many_orphans(facts: DataFrame, orphans: DataFrame, count: int, store: Store, label: str) -> DataFrame:
+    """Mark facts of more unknown customers than are broadcast.
+
+    A Bloom filter of the unknown keys tells which facts are fine; they stay where they are. Only what it lets
+    pass, the orphans themselves and a few false positives, is joined with the keys; a hot unknown key is split over
+    salts first.
+    """
+    unknown = KeyFilter.of(orphans, KEY, count, store, f"filter_{label}")
+    doubtful = unknown.may_have(F.col(KEY))
+    fine = facts.filter(~doubtful).withColumn(_ORPHAN, F.lit(False))
+    salt = F.pmod(F.xxhash64(_ROW), F.lit(SALTS))
+    checked = facts.filter(doubtful).withColumn(_SALT, salt)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    marks = orphans.select(KEY, F.lit(True).alias(_ORPHAN)).withColumn(_SALT, every)
+    settled = checked.join(marks, [KEY, _SALT], "left").drop(_SALT).withColumn(_ORPHAN, F.coalesce(_ORPHAN, F.lit(False)))
+    return fine.unionByName(settled)
+
+
 @dataclass
 class Source:
     """One parsed source: all its rows, marked where they are not loaded."""
@@ -196,8 +225,13 @@ def ingest(raw: dict[str, DataFrame], mapping: dict[str, dict], store: Store | N
         if name == crm:
             rows = parsed[name].withColumn(_ORPHAN, F.lit(False))
         else:
-            keys = unknown[name]
-            small = store and keys.count() <= BROADCAST_KEYS
-            rows = mark_orphans(parsed[name], F.broadcast(keys) if small else keys)
+            rows, keys = parsed[name], unknown[name]
+            count = keys.count() if store else None
+            if count is None:
+                rows = mark_orphans(rows, keys)
+            elif count <= BROADCAST_KEYS:
+                rows = mark_few_orphans(rows, keys)
+            else:
+                rows = mark_many_orphans(rows, keys, count, store, name)
         sources[name] = Source(name, source, rows)
     return IngestResult(sources)
