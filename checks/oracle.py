@@ -219,6 +219,32 @@ def _ingest_sql() -> dict[str, str]:
               CAST(issued_date AS VARCHAR) AS issued_date, CAST(paid_date AS VARCHAR) AS paid_date
             FROM dirty_invoice WHERE customer_id IS NOT NULL AND NOT {KNOWN}""",
         ),
+        "quarantine_replay": _with(
+            DIRTY,
+            f"""SELECT invoice_id, customer_id, product, round(amount, 4) AS amount_gbp,
+              CAST(issued_date AS VARCHAR) AS issued_date, CAST(paid_date AS VARCHAR) AS paid_date
+            FROM dirty_invoice WHERE {KNOWN}""",
+        ),
+        "quarantine_held": _with(
+            DIRTY,
+            f"""SELECT source, reason, count(*) AS records FROM (
+              SELECT 'billing' AS source, customer_id FROM dirty_invoice
+              UNION ALL SELECT 'servicedesk', customer_id FROM dirty_ticket
+              UNION ALL SELECT 'network', customer_id FROM fact_usage),
+              LATERAL (SELECT CASE WHEN customer_id IS NULL THEN 'unrecognised customer key'
+                ELSE 'no matching CRM account (quarantined)' END AS reason)
+            WHERE customer_id IS NULL OR NOT {KNOWN} GROUP BY ALL""",
+        ),
+        "quarantine_report": _with(
+            DIRTY,
+            f"""SELECT CAST(run AS BIGINT) AS run, 'billing' AS source, CASE WHEN run = 1 THEN n ELSE 0 END AS delivered,
+              CASE WHEN run = 1 THEN 0 ELSE n - early END AS taken_up, CAST(0 AS BIGINT) AS replaced,
+              CASE WHEN run = 1 THEN early ELSE late END AS loaded, CASE WHEN run = 1 THEN 0 ELSE n - early END AS held_before,
+              CASE WHEN run = 1 THEN n - early ELSE n - early - late END AS held_now
+            FROM (SELECT count(*) AS n, count(*) FILTER ({KNOWN} AND CAST(substr(customer_id, 3) AS BIGINT) % 3 <> 0) AS early,
+                    count(*) FILTER ({KNOWN} AND CAST(substr(customer_id, 3) AS BIGINT) % 3 = 0) AS late
+                  FROM dirty_invoice), (VALUES (1), (2)) runs(run)""",
+        ),
         "quality_report": _with(ISSUES, "SELECT * FROM issues"),
         "quality_summary": _with(
             ISSUES, "SELECT source, field, problem, count(*) AS issues FROM issues GROUP BY ALL"
@@ -321,6 +347,42 @@ def _mart_sql() -> dict[str, str]:
             """SELECT CAST(issued_date AS VARCHAR) AS issued_date, product, count(*) AS invoices, sum(pence) / 100 AS amount_gbp
             FROM fact_invoice WHERE year(issued_date) = 2000 GROUP BY ALL""",
         ),
+        "health_bands": _with(
+            WIDE,
+            """SELECT customer_id, company_name, round(health_score, 4) AS health_score,
+              CASE WHEN health_score < 40 THEN 'high risk' WHEN health_score < 70 THEN 'watch' ELSE 'healthy' END AS band
+            FROM customer_360""",
+        ),
+        "overdue_stages": _with(
+            INVOICES,
+            """SELECT invoice_id, customer_id, round(amount_gbp, 4) AS amount_gbp, days_outstanding,
+              CASE WHEN days_outstanding < 31 THEN 'not due' WHEN days_outstanding < 45 THEN 'reminder'
+                   WHEN days_outstanding < 60 THEN 'phone call' WHEN days_outstanding < 90 THEN 'formal letter'
+                   ELSE 'finance director' END AS stage
+            FROM fact_invoice WHERE paid_date IS NULL""",
+        ),
+        "credit_holds": _with(
+            WIDE,
+            """SELECT customer_id, company_name, account_manager, round(overdue_gbp, 4) AS overdue_gbp,
+              overdue_gbp > 5000 AS on_hold
+            FROM customer_360 WHERE overdue_gbp > 0""",
+        ),
+        "service_credits": _with(
+            WIDE,
+            """SELECT customer_id, company_name, sla_breaches_90d, round(monthly_revenue_gbp, 4) AS monthly_revenue_gbp,
+              CASE WHEN sla_breaches_90d >= 5 THEN 10 ELSE 5 END AS credit_percent,
+              round(monthly_revenue_gbp * CASE WHEN sla_breaches_90d >= 5 THEN 10 ELSE 5 END / 100, 4) AS credit_gbp
+            FROM customer_360 WHERE sla_breaches_90d >= 3""",
+        ),
+        "upsell_without_breaches": _with(
+            WIDE,
+            """SELECT customer_id, company_name, round(data_growth_pct, 4) AS data_growth_pct, coalesce(n, 0) AS open_breaches,
+              n IS NULL AS offer
+            FROM customer_360 LEFT JOIN (
+              SELECT customer_id, count(*) AS n FROM fact_ticket, (SELECT max(opened_at) AS newest FROM fact_ticket)
+              WHERE resolved_at IS NULL AND epoch_us(newest) - epoch_us(opened_at) > sla_hours * 3600000000 GROUP BY 1) USING (customer_id)
+            WHERE health_score >= 70 AND data_growth_pct > 0""",
+        ),
         "health_score_components": _with(
             WIDE,
             """SELECT customer_id, round(breach_points, 4) AS breach_points, round(debt_points, 4) AS debt_points,

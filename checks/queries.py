@@ -23,12 +23,13 @@ from tallyhouse.operators.chunking import chunk_markdown
 from tallyhouse.operators.governed import GovernedSession, as_records
 from tallyhouse.operators.ingest import IngestResult, ingest
 from tallyhouse.operators.passage_index import PassageIndex
+from tallyhouse.operators.quarantine import Loaded, Quarantine
 from tallyhouse.plans import marts as mart_plans
-from tallyhouse.plans import metrics, questions
+from tallyhouse.plans import metrics, policies, questions
 from tallyhouse.plans.marts import Marts
 from tallyhouse.plans.monthly import FACTS, MonthlyMarts
 from tallyhouse.sources.audit import audit_rows, newest_first
-from tallyhouse.sources.config import load_rules, load_sources
+from tallyhouse.sources.config import load_bands, load_rules, load_sources
 from tallyhouse.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,7 @@ RUN_AGAIN_AT = datetime(2024, 2, 2, 9, 0, 0)
 _QUERIES: dict[str, Query] = {}
 _written: dict[tuple[str, str, bool], IngestResult | Marts] = {}
 _indexed: dict[tuple[str, str], PassageIndex] = {}
+_quarantined: dict[tuple[str, str], tuple[Quarantine, Loaded, Loaded]] = {}
 _kept_by_month: dict[tuple[str, str], MonthlyMarts] = {}
 _lock = threading.Lock()
 
@@ -175,6 +177,8 @@ def title_case_query_(spark: SparkSession, folder: str) -> DataFrame:
 
 def _register_ingest(entity: str) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
+        if not any(s["pii"] for s in load_sources().values() if s["entity"] == entity and "pii" in s):
+            return plain(dirty_ingest(spark, folder).frame(entity), MAY_LACK)
         # Nothing is written, so columns with personal data are still there.
         lazy = ingest(extracts(spark, folder, dirty=True), load_sources())
         return plain(lazy.frame(entity), MAY_LACK)
@@ -198,8 +202,7 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def quality_summary(spark: SparkSession, folder: str) -> DataFrame:
-    report = dirty_ingest(spark, folder).quality_report()
-    return report.groupBy("source", "field", "problem").agg(F.count("*").alias("issues"))
+    return dirty_ingest(spark, folder).issue_counts()
 
 
 @_query
@@ -208,6 +211,40 @@ def lineage(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("pii_fields", F.array_join("pii_fields", ","))
 
 
+def _replayed(spark: SparkSession, folder: str) -> tuple[Quarantine, Loaded, Loaded]:
+    """Two runs: one that lacks every third customer, one that brings all customers and no facts."""
+    key = (spark.sparkContext.applicationId, folder)
+    with _lock:
+        if key not in _quarantined:
+            raw, mapping = extracts(spark, folder, dirty=True), load_sources()
+            number = F.substring("Account ID", 3, 20).cast("bigint")
+            held = Quarantine(spark, Store.fresh(spark, "quarantine").folder)
+            first = held.ingest(raw | {"crm": raw["crm"].filter(number % 3 != 0)}, mapping, Store.fresh(spark, "quarantine-1"))
+            later = {name: frame if name == "crm" else frame.limit(0) for name, frame in raw.items()}
+            _quarantined[key] = held, first, held.ingest(later, mapping, Store.fresh(spark, "quarantine-2"))
+        return _quarantined[key]
+
+
+@_query
+def quarantine_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Invoices that either run loaded: all of known customers, each once."""
+    _, first, second = _replayed(spark, folder)
+    return plain(first.result.frame("invoice").unionByName(second.result.frame("invoice")), MAY_LACK)
+
+
+@_query
+def quarantine_held(spark: SparkSession, folder: str) -> DataFrame:
+    """What is still held after both runs."""
+    return _replayed(spark, folder)[0].held().groupBy("source", "reason").agg(F.count("*").alias("records"))
+
+
+@_query
+def quarantine_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of billing's records in the two runs."""
+    _, first, second = _replayed(spark, folder)
+    return first.report.unionByName(second.report).filter("source = 'billing'")
+
+
 # --- Marts ------------------------------------------------------------------
 
 
@@ -360,6 +397,35 @@ for _name in _REPORTS:
     _register_report(_name)
 
 
+# --- Policies ---------------------------------------------------------------
+
+
+@_query
+def health_bands(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(policies.health_bands(_mart(spark, folder, "customer_360"), load_bands()))
+
+
+@_query
+def overdue_stages(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(policies.overdue_stages(_mart(spark, folder, "fact_invoice"), load_bands()))
+
+
+@_query
+def credit_holds(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(policies.credit_holds(_mart(spark, folder, "customer_360"), load_bands()))
+
+
+@_query
+def service_credits(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(policies.service_credits(_mart(spark, folder, "customer_360"), load_bands()))
+
+
+@_query
+def upsell_without_breaches(spark: SparkSession, folder: str) -> DataFrame:
+    built = marts(spark, folder)
+    return plain(policies.may_be_offered_more(built.table("customer_360"), built.table("fact_ticket"), load_bands()))
+
+
 # --- Rules and actions ------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import parsing
@@ -86,11 +86,28 @@ def parse_source(raw: DataFrame, name: str, source: dict) -> DataFrame:
 
 
 def unknown_keys(facts: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct keys of a fact source that no customer has."""
-    keys = facts.select(KEY).filter(F.col(KEY).isNotNull()).distinct()
+    """Distinct keys of a fact source that no customer has, and how many facts have each (``n``)."""
+    keys = facts.filter(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("n"))
     return keys.join(known, KEY, "left_anti")
 
 
+def possible_issues(source: dict) -> list[tuple[str, str]]:
+    """Field and problem of each issue that a record by itself can have."""
+    types = source.get("types", {})
+    return [("line", BAD_LINE), (source["key"]["field"], UNKNOWN_KEY)] + [(new, f"could not parse as {t['type']}") for new, t in types.items()]
+
+
+def _observed(rows: DataFrame, source: dict) -> tuple[DataFrame, Observation]:
+    """Parsed rows that are counted as they pass: how many, how many with a key, how many with each issue."""
+    seen = Observation()
+
+    def of(field: str, problem: str) -> Column:
+        return F.exists(_ISSUES, lambda issue: (issue["field"] == field) & (issue["problem"] == problem))
+
+    issues = [F.count_if(of(*issue)).alias(f"issue_{at}") for at, issue in enumerate(possible_issues(source))]
+    return rows.observe(seen, F.count("*").alias("rows_in"), F.count(KEY).alias("keyed"), *issues), seen
+
+
 def _marked(facts: DataFrame, orphans: DataFrame) -> DataFrame:
     marks = orphans.select(KEY, F.lit(True).alias(_ORPHAN))
     return facts.join(marks, KEY, "left").withColumn(_ORPHAN, F.coalesce(_ORPHAN, F.lit(False)))
@@ -133,6 +150,8 @@ class Source:
     name: str
     config: dict
     rows: DataFrame
+    #: rows_in, rows_loaded, orphans and the number of each possible issue, if they were counted while writing.
+    counts: dict | None = None
 
     @property
     def entity(self) -> str:
@@ -157,11 +176,15 @@ class Source:
         return flagged.select(F.inline(found))
 
     def lineage(self) -> DataFrame:
+        """Where the entity comes from and how many rows; needs no scan where they were counted while writing."""
         pii = [F.lit(name) for name in self.config.get("pii", [])]
-        return self.rows.agg(
-            F.count("*").alias("rows_in"),
-            F.count_if(self.loaded).alias("rows_loaded"),
-        ).select(
+        if self.counts:
+            counted = self.rows.sparkSession.range(1).select(
+                *(F.lit(self.counts[name]).cast("bigint").alias(name) for name in ("rows_in", "rows_loaded"))
+            )
+        else:
+            counted = self.rows.agg(F.count("*").alias("rows_in"), F.count_if(self.loaded).alias("rows_loaded"))
+        return counted.select(
             F.lit(self.entity).alias("entity"),
             F.lit(self.name).alias("source_system"),
             F.lit(self.config["file"]).alias("file"),
@@ -171,6 +194,13 @@ class Source:
         )
 
 
+def _counts(name: str, source: dict, seen: dict, orphans: int) -> dict:
+    """Counts of a source, from what was seen of its rows and the number of its orphans."""
+    issues = [(name, *issue, seen[f"issue_{at}"]) for at, issue in enumerate(possible_issues(source))]
+    issues.append((source["entity"], KEY, ORPHAN, orphans))
+    return {"rows_in": seen["rows_in"], "rows_loaded": seen["keyed"] - orphans, "orphans": orphans, "issues": issues}
+
+
 def _union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -198,6 +228,16 @@ class IngestResult:
         """Every issue: source, row (the record's locator), field, problem."""
         return _union(s.issues() for s in self.sources.values())
 
+    def issue_counts(self) -> DataFrame:
+        """source, field, problem and number of issues; from the counts taken while writing, where there are any."""
+        report = _union(s.issues() for s in self.sources.values() if not s.counts) if not all(s.counts for s in self.sources.values()) else None
+        counted = [row for s in self.sources.values() if s.counts for row in s.counts["issues"]]
+        spark = next(iter(self.sources.values())).rows.sparkSession
+        frame = spark.createDataFrame(counted, "source string, field string, problem string, issues bigint").filter("issues > 0")
+        if report is None:
+            return frame
+        return frame.unionByName(report.groupBy("source", "field", "problem").agg(F.count("*").alias("issues")))
+
     def lineage(self) -> DataFrame:
         return _union(s.lineage() for s in self.sources.values())
 
@@ -206,13 +246,17 @@ def ingest(raw: dict[str, DataFrame], mapping: dict[str, dict], store: Store | N
     """Ingest every source of a mapping.
 
     With a store, each parsed source is written once, so text is parsed once however many
-    results are read from it, and unknown keys are counted before they are broadcast. Columns
+    results are read from it, and its rows and issues are counted as they are written. Unknown
+    keys are counted before they are broadcast. Columns
     with personal data are dropped before that; without a store they are there, in memory only.
     """
 
     parsed = {name: parse_source(raw[name], name, source) for name, source in mapping.items()}
+    seen: dict[str, Observation] = {}
     if store:
-        kept = {name: rows.drop(*mapping[name].get("pii", [])) for name, rows in parsed.items()}
+        kept = {}
+        for name, rows in parsed.items():
+            kept[name], seen[name] = _observed(rows.drop(*mapping[name].get("pii", [])), mapping[name])
         parsed = store.write_all(kept, "parsed_{}")
     crm = next(name for name, source in mapping.items() if source["entity"] == CUSTOMER)
     known = parsed[crm].select(KEY).filter(F.col(KEY).isNotNull()).distinct()
@@ -222,16 +266,16 @@ def ingest(raw: dict[str, DataFrame], mapping: dict[str, dict], store: Store | N
 
     sources = {}
     for name, source in mapping.items():
-        if name == crm:
-            rows = parsed[name].withColumn(_ORPHAN, F.lit(False))
+        rows, keys, count, orphans = parsed[name], unknown.get(name), None, 0
+        if store and keys is not None:
+            count, orphans = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if keys is None:
+            rows = rows.withColumn(_ORPHAN, F.lit(False))
+        elif count is None:
+            rows = mark_orphans(rows, keys)
+        elif count <= BROADCAST_KEYS:
+            rows = mark_few_orphans(rows, keys)
         else:
-            rows, keys = parsed[name], unknown[name]
-            count = keys.count() if store else None
-            if count is None:
-                rows = mark_orphans(rows, keys)
-            elif count <= BROADCAST_KEYS:
-                rows = mark_few_orphans(rows, keys)
-            else:
-                rows = mark_many_orphans(rows, keys, count, store, name)
-        sources[name] = Source(name, source, rows)
+            rows = mark_many_orphans(rows, keys, count, store, name)
+        sources[name] = Source(name, source, rows, _counts(name, source, seen[name].get, orphans) if store else None)
     return IngestResult(sources)

@@ -161,3 +161,21 @@ def test_many_unknown_keys_are_joined_by_shuffle(spark, raw, ingested, monkeypat
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_counts_taken_while_writing(spark, small, monkeypatch):
+    """Lineage and issue counts are those of a scan, and read nothing."""
+    from checks.extracts import extracts
+    from tallyhouse.operators import ingest as ingesting
+
+    counted = ingest(extracts(spark, small, dirty=True), load_sources(), Store.fresh(spark, "counts"))
+    lineage, issues = counted.lineage(), counted.issue_counts()
+    for frame in (lineage, issues):
+        assert "FileScan" not in frame._jdf.queryExecution().executedPlan().toString()
+    rows = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    scanned = counted.quality_report().groupBy("source", "field", "problem").count()
+    assert rows(issues) == rows(scanned) != []
+    for source in counted.sources.values():
+        source.counts = None
+    assert rows(counted.lineage()) == rows(lineage) and rows(counted.issue_counts()) == rows(scanned)
+    assert ingesting.possible_issues(load_sources()["crm"])[0] == ("line", ingesting.BAD_LINE)
