@@ -153,3 +153,37 @@ def extracts(spark: SparkSession, folder: str, dirty: bool = False) -> dict[str,
         "servicedesk": service_desk(spark, folder, dirty),
         "network": network(spark, folder),
     }
+
+
+def deliver_files(spark: SparkSession, frames: dict[str, DataFrame], folder: str, mapping: dict[str, dict]) -> dict[str, dict]:
+    """Write extracts as their systems deliver them, CSV or JSON lines in folders of files; the mapping to read them by."""
+    delivered = {}
+    for name, source in mapping.items():
+        path = f"{folder}/{source['file']}"
+        if source["format"] == "csv":
+            frames[name].write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
+        else:
+            frames[name].write.option("ignoreNullFields", False).json(path)
+        delivered[name] = source | {"layout": "lines"}
+    return delivered
+
+
+def deliver_markdown(documents: DataFrame, folder: str) -> int:
+    """Write documents (doc, text) as Markdown files, one each; how many."""
+    spark = documents.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+                with store.open_output_stream(f"{top}/{doc}.md") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    return documents.selectExpr("CAST(doc AS string) AS doc", "text").mapInArrow(run, "files long").groupBy().sum("files").first()[0]

@@ -219,6 +219,27 @@ def _ingest_sql() -> dict[str, str]:
               CAST(issued_date AS VARCHAR) AS issued_date, CAST(paid_date AS VARCHAR) AS paid_date
             FROM dirty_invoice WHERE customer_id IS NOT NULL AND NOT {KNOWN}""",
         ),
+        "files_invoice": _with(
+            DIRTY,
+            f"""SELECT invoice_id, customer_id, product, round(amount, 4) AS amount_gbp,
+              CAST(issued_date AS VARCHAR) AS issued_date, CAST(paid_date AS VARCHAR) AS paid_date
+            FROM dirty_invoice WHERE {KNOWN}""",
+        ),
+        "files_ticket": _with(
+            DIRTY,
+            f"""SELECT CAST(ticket_id AS VARCHAR) AS ticket_id, customer_id, priority, category,
+              CAST(opened_at AS VARCHAR) AS opened_at, CAST(resolved_at AS VARCHAR) AS resolved_at,
+              CAST(csat_score AS DOUBLE) AS csat_score
+            FROM dirty_ticket WHERE {KNOWN}""",
+        ),
+        "files_quality_report": _with(ISSUES, "SELECT * FROM issues"),
+        "files_orphans": _with(
+            DIRTY,
+            f"""SELECT entity, customer_id, count(*) AS records FROM (
+              SELECT 'invoice' AS entity, customer_id FROM dirty_invoice
+              UNION ALL SELECT 'ticket', customer_id FROM dirty_ticket UNION ALL SELECT 'usage', customer_id FROM fact_usage)
+            WHERE customer_id IS NOT NULL AND NOT {KNOWN} GROUP BY ALL""",
+        ),
         "quarantine_replay": _with(
             DIRTY,
             f"""SELECT invoice_id, customer_id, product, round(amount, 4) AS amount_gbp,
@@ -544,6 +565,7 @@ def _action_sql() -> dict[str, str]:
         ),
         "rule_audit": _with(f"{ACTIONS}, {_rule_counts(ids)}", "SELECT * FROM rule_counts"),
         "audit_log": _with(AUDIT, "SELECT * FROM audit"),
+        "audit_of_a_day": _with(AUDIT, "SELECT * FROM audit WHERE starts_with(ts, '2024-02-02')"),
         "audit_tail": _with(
             AUDIT, "SELECT * FROM audit ORDER BY ts DESC, seq DESC, layer DESC, event DESC LIMIT 5"
         ),
@@ -705,6 +727,11 @@ def _text_sql() -> dict[str, str]:
             """SELECT CAST(doc AS VARCHAR) AS doc, position, title, heading, md5(text) AS text_md5
             FROM sections WHERE text <> ''""",
         ),
+        "files_chunks": _with(
+            SECTIONS,
+            """SELECT CAST(doc AS VARCHAR) AS doc, position, title, heading, md5(text) AS text_md5
+            FROM sections WHERE text <> ''""",
+        ),
         "intent_classify": _with(
             QUESTIONS, "SELECT question_id, intent, md5(search) AS search_md5 FROM classified"
         ),

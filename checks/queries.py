@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.extracts import extracts, spread_table, table, user_questions
+from checks.extracts import deliver_files, deliver_markdown, extracts, spread_table, table, user_questions
 from tallyhouse.functions import parsing
 from tallyhouse.functions.keys import canonical_key
 from tallyhouse.functions.text import raw_tokens, redact, search_tokens, title_case
@@ -28,8 +28,9 @@ from tallyhouse.plans import marts as mart_plans
 from tallyhouse.plans import metrics, policies, questions
 from tallyhouse.plans.marts import Marts
 from tallyhouse.plans.monthly import FACTS, MonthlyMarts
-from tallyhouse.sources.audit import audit_rows, newest_first
+from tallyhouse.sources.audit import AuditLog, audit_rows
 from tallyhouse.sources.config import load_bands, load_rules, load_sources
+from tallyhouse.sources.files import read_markdown, read_sources
 from tallyhouse.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,7 @@ RUN_AGAIN_AT = datetime(2024, 2, 2, 9, 0, 0)
 _QUERIES: dict[str, Query] = {}
 _written: dict[tuple[str, str, bool], IngestResult | Marts] = {}
 _indexed: dict[tuple[str, str], PassageIndex] = {}
+_read_from_files: dict[tuple[str, str], IngestResult] = {}
 _quarantined: dict[tuple[str, str], tuple[Quarantine, Loaded, Loaded]] = {}
 _kept_by_month: dict[tuple[str, str], MonthlyMarts] = {}
 _lock = threading.Lock()
@@ -211,6 +213,42 @@ def lineage(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("pii_fields", F.array_join("pii_fields", ","))
 
 
+def _from_files(spark: SparkSession, folder: str) -> IngestResult:
+    """The faulty extracts delivered as CSV and JSON files in the shared folder, read from there and ingested."""
+    key = (spark.sparkContext.applicationId, folder)
+    with _lock:
+        if key not in _read_from_files:
+            place = Store.fresh(spark, "files")
+            mapping = deliver_files(spark, extracts(spark, folder, dirty=True), place.path("extracts"), load_sources())
+            _read_from_files[key] = ingest(read_sources(spark, place.path("extracts"), mapping), mapping, place)
+        return _read_from_files[key]
+
+
+@_query
+def files_invoice(spark: SparkSession, folder: str) -> DataFrame:
+    """Invoices from CSV files."""
+    return plain(_from_files(spark, folder).frame("invoice"), MAY_LACK)
+
+
+@_query
+def files_ticket(spark: SparkSession, folder: str) -> DataFrame:
+    """Tickets from JSON files, without personal data."""
+    return plain(_from_files(spark, folder).frame("ticket"), MAY_LACK)
+
+
+@_query
+def files_quality_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _from_files(spark, folder).quality_report()
+
+
+@_query
+def files_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """Usage and tickets of unknown customers, by source."""
+    found = _from_files(spark, folder)
+    parts = [found.orphans(entity).select(F.lit(entity).alias("entity"), "customer_id") for entity in ("ticket", "usage", "invoice")]
+    return reduce(DataFrame.unionByName, parts).groupBy("entity", "customer_id").agg(F.count("*").alias("records"))
+
+
 def _replayed(spark: SparkSession, folder: str) -> tuple[Quarantine, Loaded, Loaded]:
     """Two runs: one that lacks every third customer, one that brings all customers and no facts."""
     key = (spark.sparkContext.applicationId, folder)
@@ -639,6 +677,15 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.select("doc", "position", "title", "heading", F.md5("text").alias("text_md5"))
 
 
+@_query
+def files_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``chunk_documents``, from a folder of Markdown files."""
+    place = Store.fresh(spark, "markdown").folder
+    deliver_markdown(markdown(spark, folder), place)
+    chunks = chunk_markdown(read_markdown(spark, place))
+    return chunks.select("doc", "position", "title", "heading", F.md5("text").alias("text_md5"))
+
+
 @_query
 def intent_classify(spark: SparkSession, folder: str) -> DataFrame:
     sorted_out = questions.classify(user_questions(spark, folder))
@@ -736,11 +783,26 @@ def _audit(spark: SparkSession, folder: str) -> DataFrame:
     return loads.unionByName(rules)
 
 
+def _logged(spark: SparkSession, folder: str) -> AuditLog:
+    """The audit entries in a log on disk, an append for each layer."""
+    log, entries = AuditLog(spark, Store.fresh(spark, "audit").folder), _audit(spark, folder)
+    for layer in ("ingestion", "automation"):
+        log.append(entries.filter(F.col("layer") == layer))
+    return log
+
+
 @_query
 def audit_log(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).withColumn("detail", F.to_json("detail"))
+    return _logged(spark, folder).entries().withColumn("detail", F.to_json("detail"))
 
 
 @_query
 def audit_tail(spark: SparkSession, folder: str) -> DataFrame:
-    return newest_first(_audit(spark, folder), 5).withColumn("detail", F.to_json("detail"))
+    return _logged(spark, folder).tail(5).withColumn("detail", F.to_json("detail"))
+
+
+@_query
+def audit_of_a_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of the day of the second run; other days' files are not read."""
+    day = RUN_AGAIN_AT.date()
+    return _logged(spark, folder).entries(day, day).withColumn("detail", F.to_json("detail"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -19,6 +20,8 @@ from tallyhouse.sources.files import read_markdown
 from tallyhouse.sources.store import Store
 
 PASSAGE_CHARS = 500
+# Parts in which questions of one text are joined with their passage.
+SALTS = 8
 
 
 @dataclass(frozen=True)
@@ -117,9 +120,20 @@ def with_policy(classified: DataFrame, chunks: DataFrame, store: Store | None =
         F.left("text", F.lit(PASSAGE_CHARS)).alias("passage"),
     )
     found = best.select(F.col("query_id").alias("search_id"), "chunk_id").join(passages, "chunk_id")
-    return asked.join(found, "search_id", "left").select(
-        "question_id", "intent", "chunk_id", "title", "section", "passage"
-    )
+    columns = ["question_id", "intent", "chunk_id", "title", "section", "passage"]
+    if store is None:  # a few questions at a prompt
+        return asked.join(found, "search_id", "left").select(*columns)
+    found = store.write("policy_passages", found)
+    # Most questions share the few searches of the intents: those passages go to the questions. Others' own searches
+    # are joined, in parts, for one question may be asked by many.
+    shared = [hashlib.md5(intent.policy.encode()).hexdigest() for intent in INTENTS]
+    of_intents = F.broadcast(found.filter(F.col("search_id").isin(*shared)))  # a row for each intent at most
+    answered = asked.filter(F.col("search_id").isin(*shared)).join(of_intents, "search_id", "left")
+    own = asked.filter(~F.coalesce(F.col("search_id").isin(*shared), F.lit(False)))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("question_id"), F.lit(SALTS)))
+    parts = found.filter(~F.col("search_id").isin(*shared)).withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
+    others = own.join(parts, ["search_id", "salt"], "left").drop("salt")
+    return answered.unionByName(others).select(*columns)
 
 
 def knowledge_base(spark: SparkSession, folder: str) -> DataFrame:

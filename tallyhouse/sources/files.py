@@ -29,7 +29,31 @@ def _read_csv(spark: SparkSession, path: str, layout: str | None) -> DataFrame:
     return frame.na.fill("", names)  # an empty CSV field is empty text, not a missing value
 
 
+#: Records whose fields are looked at before all are.
+FIRST_RECORDS = 1000
+
+
+def _json_fields(spark: SparkSession, path: str, layout: str | None, wanted: set[str]) -> set[str]:
+    """Those of the wanted fields that some record has, be it as null.
+
+    The first lines nearly always tell; only if they do not are the names in all lines looked at, not the values. A file
+    that is one array is parsed as a whole, as it will be for reading.
+    """
+    if layout != "lines":
+        return wanted & set(spark.read.json(path, multiLine=True).columns)
+    names = spark.read.text(path).select(F.json_object_keys("value").alias("names"))
+    for rows in (names.limit(FIRST_RECORDS), names):
+        listed = rows.select(F.explode("names").alias("name")).filter(F.col("name").isin(*wanted))
+        found = {row.name for row in listed.distinct().collect()}  # no more than are wanted
+        if found == wanted:
+            break
+    return found
+
+
 def _read_json(spark: SparkSession, path: str, layout: str | None, fields: list[str]) -> DataFrame:
+    lacking = set(fields) - _json_fields(spark, path, layout, set(fields))
+    if lacking:
+        raise ValueError(f"No record of {path} has {sorted(lacking)}")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in fields])
     return spark.read.schema(schema).json(path, multiLine=layout != "lines", mode="FAILFAST")
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from datetime import datetime
+import json
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from checks import queries as registered
 from tallyhouse.operators import actions
 from tallyhouse.operators.actions import ActionLog
+from tallyhouse.sources import audit as audit_module
 from tallyhouse.sources.audit import AuditLog
 from tallyhouse.sources.config import load_rules
 
@@ -153,3 +155,36 @@ def test_audit_tail_is_newest_first(spark, tmp_path):
         audit.record("test", f"event{n}", {"n": n, "text": "a\nb"})
     assert [r.event for r in audit.tail(3).collect()] == ["event3", "event2", "event1"]
     assert audit.tail(1).first().detail == {"n": "3", "text": "a\nb"}
+
+
+def test_a_tail_opens_few_files(spark, tmp_path):
+    """1,000 parts of eight entries each, some of which overlap in time."""
+    audit, expected = AuditLog(spark, str(tmp_path)), []
+    for n in range(1000):
+        start = datetime(2024, 1, 1) + timedelta(minutes=5 * n)
+        rows = [{"ts": (start + timedelta(seconds=9 * i)).isoformat(), "seq": 8 * n + i, "layer": "l", "event": f"{n}/{i}", "detail": {}} for i in range(8)]
+        part = tmp_path / f"day={rows[-1]['ts'][:10]}" / audit_module._part_name(rows[-1]["ts"], rows[0]["ts"], 8 * n + 7, 8)
+        part.mkdir(parents=True)
+        (part / "part-0.json").write_text("".join(json.dumps(r) + "\n" for r in rows), encoding="utf-8")
+        expected += rows
+    newest = sorted(expected, key=lambda r: (r["ts"], r["seq"]), reverse=True)[:50]
+    assert [r.event for r in audit.tail(50).collect()] == [r["event"] for r in newest]
+    assert len(audit.tail(50).inputFiles()) < 10
+    day = audit.entries(date(2024, 1, 2), date(2024, 1, 2))
+    assert day.count() == sum(r["ts"].startswith("2024-01-02") for r in expected)
+    assert audit.entries().count() == 8000 and all("day=2024-01-02" in f for f in day.inputFiles())
+
+
+def test_entries_from_before_there_were_days(spark, tmp_path):
+    (tmp_path / "part-0.json").write_text('{"ts":"2020-01-01T00:00:00","seq":1,"layer":"l","event":"old","detail":{}}\n', encoding="utf-8")
+    audit = AuditLog(spark, str(tmp_path))
+    audit.record("l", "new", {})
+    assert [r.event for r in audit.tail(2).collect()] == ["new", "old"]
+    assert [r.event for r in audit.tail(1).collect()] == ["new"] and audit.entries().count() == 2
+
+
+def test_an_empty_log(spark, tmp_path):
+    audit = AuditLog(spark, str(tmp_path / "none"))
+    assert audit.tail(5).collect() == [] and audit.entries().collect() == []
+    audit.append(audit.entries())
+    assert audit.days() == []

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,16 @@ def test_counts_taken_while_writing(spark, small, monkeypatch):
         source.counts = None
     assert rows(counted.lineage()) == rows(lineage) and rows(counted.issue_counts()) == rows(scanned)
     assert ingesting.possible_issues(load_sources()["crm"])[0] == ("line", ingesting.BAD_LINE)
+
+
+@pytest.mark.parametrize("layout", ["lines", None])
+def test_a_field_that_no_json_record_has_is_an_error(spark, tmp_path, layout):
+    """A field that is null in all records that have it, or that only the last record has, is none."""
+    records = [{"a": 1, "n": None} for _ in range(3000)] + [{"a": 2, "last": "x"}]
+    text = "\n".join(json.dumps(r) for r in records) if layout else json.dumps(records)
+    (tmp_path / "t.json").write_text(text, encoding="utf-8")
+    source = {"file": "t.json", "format": "json", "layout": layout, "fields": {"a": "a", "n": "n", "last": "last"}}
+    rows = files.read_source(spark, str(tmp_path), source)
+    assert rows.filter("last IS NOT NULL").count() == 1 and rows.filter("n IS NULL").count() == 3001
+    with pytest.raises(ValueError, match="absent"):
+        files.read_source(spark, str(tmp_path), source | {"fields": {"a": "a", "absent": "b"}})

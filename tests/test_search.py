@@ -224,3 +224,24 @@ def test_many_questions_with_one_text(spark, policies):
     got = questions.with_policy(questions.classify(asked), policies, Store.fresh(spark, "many"))
     counts = {r.section: r["count"] for r in got.groupBy("section").count().collect()}
     assert counts.pop("Late delivery") == 1000 and sum(counts.values()) == 2000
+
+
+def test_all_questions_of_one_intent(spark):
+    """Questions that share a search, by an intent or by their own text, all get its passage; none is a hot key."""
+    from tallyhouse.plans import questions
+
+    chunks = spark.createDataFrame(
+        [(1, "Credit", "Credit hold", "overdue debt beyond terms credit hold"), (2, "Care", "Opening hours", "we open at nine on weekdays")],
+        "chunk_id long, title string, heading string, text string",
+    )
+    asked = spark.range(4000).selectExpr("CAST(id AS string) AS question_id", "IF(id % 4 = 0, 'When do you open on weekdays?', 'Who owes us overdue money?') AS question")
+    sorted_out = questions.classify(asked)
+    found = questions.with_policy(sorted_out, chunks, Store.fresh(spark, "policy"))
+    assert {(r.intent, r.section): r["count"] for r in found.groupBy("intent", "section").count().collect()} == {
+        (None, "Opening hours"): 1000,
+        (sorted_out.where("question_id = '1'").first().intent, "Credit hold"): 3000,
+    }
+    alone = questions.with_policy(sorted_out, chunks).select(*found.columns)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan and "broadcast" in plan
