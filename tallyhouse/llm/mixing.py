@@ -28,7 +28,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.tasks import free_name
 from tallyhouse.sources.store import Store
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +37,10 @@ KEY_BITS = 60
 NAMELESS_GROUPS = 64
 
 
+#: Weights and ramps of the sources, repeating; what all of them share of all words; how often a document is taken at most.
+WEIGHTS, RAMPS, TOTAL_SHARE, MOST = (5, 2, 1), (-0.5, 0.0, 0.5), 1.5, 2
+
+
 def drawn(doc_id: Column) -> Column:
     """A number of 60 bits that depends on the id only."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
@@ -69,13 +72,25 @@ def targets(sources: DataFrame, weights: Sequence[float], total_share: float, mo
 def plan(
     docs: DataFrame,
     store: Store,
-    weights: Sequence[float] = (5, 2, 1),
-    ramps: Sequence[float] = (-0.5, 0.0, 0.5),
-    total_share: float = 1.5,
-    most: int = 2,
+    weights: Sequence[float] = WEIGHTS,
+    ramps: Sequence[float] = RAMPS,
+    total_share: float = TOTAL_SHARE,
+    most: int = MOST,
     also: Sequence[str] = (),
 ) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, ``positions``, one for each time taken, and ``also``."""
+    """A row for each document: doc_id, source, size, source_size, target, ``positions``, one for each time taken, and ``also``.
+
+    Columns named in ``also`` come along with their row, under their own names.
+    """
+    placed = _placed(docs, store, weights, ramps, total_share, most, also)
+    names = [F.col(f"also_{at}").alias(name) for at, name in enumerate(also)]
+    return placed.select("doc_id", "source", "size", "source_size", "target", "positions", *names)
+
+
+def _placed(
+    docs: DataFrame, store: Store, weights: Sequence[float], ramps: Sequence[float], total_share: float, most: int, also: Sequence[str]
+) -> DataFrame:
+    """The plan; what comes along is named ``also_0`` and so on. It moves once, to its bucket."""
     sized = store.write(
         "sized",
         docs.select(
@@ -85,7 +100,7 @@ def plan(
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             drawn(F.col("doc_id")).alias("draw"),
             F.pmod(F.xxhash64("text"), F.lit(NAMELESS_GROUPS)).cast("int").alias("dealt"),
-            *[F.col(name).alias(f"also_{at}") for at, name in enumerate(also)],
+            *[F.col(f"`{name}`").alias(f"also_{at}") for at, name in enumerate(also)],
         )
         .withColumn("bucket", F.shiftright("draw", KEY_BITS - BUCKET_BITS).cast("int"))
         # Within the bucket of null ids: what is drawn before them, they by size, what is drawn after them.
@@ -118,17 +133,23 @@ def plan(
         "source_size",
         "target",
         F.array_compact(F.array(*[position(turn) for turn in range(most)])).alias("positions"),
-        *[F.col(f"also_{at}").alias(name) for at, name in enumerate(also)],
+        *[f"also_{at}" for at in range(len(also))],
     )
 
 
-def mixed(docs: DataFrame, store: Store, **settings) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    store: Store,
+    weights: Sequence[float] = WEIGHTS,
+    ramps: Sequence[float] = RAMPS,
+    total_share: float = TOTAL_SHARE,
+    most: int = MOST,
+) -> DataFrame:
     """The documents in training order, a row for each time one is taken, with the columns they had.
 
-    Rows are written with a number of their own, so each is taken as planned for it, whatever its ``doc_id``.
+    All columns go with their row through the plan, so each row is taken as planned for it, whatever its ``doc_id``.
     """
-    own, when, once = free_name(docs, "row_number"), free_name(docs, "positions"), free_name(docs, "position")
-    rows = store.write("rows", docs.withColumn(own, F.monotonically_increasing_id()))
-    plans = plan(rows, store, also=(own,), **settings).select(own, F.col("positions").alias(when))
-    taken = rows.join(plans, own).select(*docs.columns, F.explode(when).alias(once))
-    return taken.orderBy(once, "doc_id").select(*docs.columns)
+    placed = _placed(docs, store, weights, ramps, total_share, most, docs.columns)
+    columns = [F.col(f"also_{at}").alias(name) for at, name in enumerate(docs.columns)]
+    taken = placed.select("doc_id", *[f"also_{at}" for at in range(len(docs.columns))], F.explode("positions").alias("position"))
+    return taken.orderBy("position", "doc_id").select(*columns)

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from llm_fixtures import DOCS, awkward
 from tallyhouse.llm import queries, quality_classifier, secret_scan
+from tallyhouse.sources.store import Store
 from test_mixing import plain_plan
 from test_near_copies import classes, plain_print
 
@@ -35,7 +36,7 @@ def plain_run(rows: list[dict], model) -> Counter:
 
 def test_run(spark, small):
     documents = queries.table(spark, small, "documents")
-    model = quality_classifier.train(documents, queries.table(spark, small, "labels"))
+    model = quality_classifier.train(documents, queries.table(spark, small, "labels"), Store.fresh(spark, "test"))
     good = [r.asDict() for r in quality_classifier.good_documents(documents, model).collect()]
     assert Counter(map(tuple, corpus_pipeline.run(spark, small).collect())) == plain_run(good, model)
 
