@@ -21,6 +21,7 @@ HEADLINE = (
     "ingest_invoice",
     "quality_report",
     "customer_360",
+    "customer_360_by_month",
     "kpis",
     "revenue_trend",
     "tickets_by_category",
@@ -33,6 +34,7 @@ HEADLINE = (
     "term_frequencies",
     "bm25_term_stats",
     "bm25_search",
+    "passage_search",
     "chunk_documents",
     "intent_classify",
     "question_policy",
@@ -58,6 +60,8 @@ def main() -> None:
 
     timed("build_marts", lambda: registered.marts(spark, folder))
     timed("build_ingest", lambda: registered.dirty_ingest(spark, folder))
+    timed("build_monthly", lambda: registered.monthly(spark, folder))
+    timed("build_passage_index", lambda: registered.passage_index(spark, folder))
     every = registered.queries()
     for name in HEADLINE:
         timed(name, lambda: every[name](spark, folder).write.format("noop").mode("overwrite").save())

@@ -41,8 +41,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table whose rows take much work, in many tasks: a test table is one row group."""
-    return table(spark, folder, name).select(*columns).repartition(F.col(columns[0]))
+    """Columns of a table whose rows take much work, in a task for each core at least: a test table is one row group.
+
+    A table that is read in that many tasks anyway stays where it is.
+    """
+    rows, cores = table(spark, folder, name).select(*columns), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, F.col(columns[0]))
 
 
 def crm(spark: SparkSession, folder: str) -> DataFrame:

@@ -349,7 +349,7 @@ def health_score_components(spark: SparkSession, folder: str) -> DataFrame:
 # --- Marts by month ---------------------------------------------------------
 
 
-def _monthly(spark: SparkSession, folder: str) -> MonthlyMarts:
+def monthly(spark: SparkSession, folder: str) -> MonthlyMarts:
     """The marts in two deliveries: the first lacks the last months and has one old month wrong, the second sets that right."""
     key = (spark.sparkContext.applicationId, folder)
     with _lock:
@@ -374,23 +374,23 @@ def _monthly(spark: SparkSession, folder: str) -> MonthlyMarts:
 @_query
 def customer_360_by_month(spark: SparkSession, folder: str) -> DataFrame:
     """customer_360 from partial aggregates, after a late correction: equal to one built from all facts."""
-    return plain(_monthly(spark, folder).table("customer_360")).orderBy("health_score", "customer_id")
+    return plain(monthly(spark, folder).table("customer_360")).orderBy("health_score", "customer_id")
 
 
 @_query
 def fact_invoice_by_month(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(_monthly(spark, folder).table("fact_invoice").drop("of_month"), MAY_LACK)
+    return plain(monthly(spark, folder).table("fact_invoice").drop("of_month"), MAY_LACK)
 
 
 @_query
 def fact_ticket_by_month(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(_monthly(spark, folder).table("fact_ticket").drop("of_month"), MAY_LACK)
+    return plain(monthly(spark, folder).table("fact_ticket").drop("of_month"), MAY_LACK)
 
 
 @_query
 def revenue_of_a_year(spark: SparkSession, folder: str) -> DataFrame:
     """Invoiced amounts of 2000 by day and product; reads the files of those months."""
-    invoices = _monthly(spark, folder).between("fact_invoice", date(2000, 1, 1), date(2000, 12, 31))
+    invoices = monthly(spark, folder).between("fact_invoice", date(2000, 1, 1), date(2000, 12, 31))
     amount = rollups.exact_sum(F.col("amount_gbp")).cast("double").alias("amount_gbp")
     return plain(invoices.groupBy("issued_date", "product").agg(F.count("*").alias("invoices"), amount))
 
@@ -618,7 +618,7 @@ def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
     return plain(bm25.search(_chunks(spark, folder), asked, store=Store.fresh(spark, "search")))
 
 
-def _passage_index(spark: SparkSession, folder: str) -> PassageIndex:
+def passage_index(spark: SparkSession, folder: str) -> PassageIndex:
     """The kept index of all documents, built once for each application and folder: nine tenths, then the rest."""
     key = (spark.sparkContext.applicationId, folder)
     with _lock:
@@ -636,7 +636,7 @@ def _passages_asked(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def passage_search(spark: SparkSession, folder: str) -> DataFrame:
     """As ``bm25_search``, over the kept index: two segments, most pairs never scored."""
-    return plain(_passage_index(spark, folder).search(_passages_asked(spark, folder)).best)
+    return plain(passage_index(spark, folder).search(_passages_asked(spark, folder)).best)
 
 
 @_query
@@ -651,7 +651,7 @@ def passage_search_after_deletion(spark: SparkSession, folder: str) -> DataFrame
 @_query
 def passage_term_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Document frequencies summed over the segments of the kept index."""
-    return plain(_passage_index(spark, folder).term_stats())
+    return plain(passage_index(spark, folder).term_stats())
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ re-read instead of a re-run of the pipeline.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("Set spark.checkpoint.dir to a folder shared by driver and executors")
     folder = tempfile.mkdtemp(prefix="tallyhouse-")
     spark.sparkContext.setCheckpointDir(folder)
