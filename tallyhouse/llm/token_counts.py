@@ -2,7 +2,9 @@
 
 Each document keeps a segment tree: a leaf for each run of characters up to a space between visible characters, where
 a pre-token always starts; inner nodes add up characters and tokens. An edit descends by character position,
-encodes anew the leaves it touches and one leaf of context to either side, and updates the sums above.
+encodes anew the leaves it touches and one leaf of context to either side, cuts that stretch into leaves again, and
+updates the sums above. Where more leaves come out than there is room for, the leaves of the smallest stretch of the tree
+that has room are spread over it, so leaves stay small however many edits meet in one place.
 
 Defined results: a null text counts as empty; positions are code points and are cut to the text; edits apply in
 their given order, each to the text that the ones before left; null edits, and edits whose start, end or
@@ -40,8 +42,9 @@ class TokenTree:
     """Character and token sums over the leaves of one text."""
 
     def __init__(self, leaves: list[str], counts: list[int], count: Callable[[list[str]], list[int]]):
-        self.leaves, self.count, self.encoded = leaves, count, 0
+        self.count, self.encoded = count, 0
         self.size = 1 << max(0, len(leaves) - 1).bit_length()
+        self.leaves = leaves + [""] * (self.size - len(leaves))
         self.chars, self.tokens = (self._sums(values) for values in (list(map(len, leaves)), counts))
 
     def _sums(self, values: list[int]) -> np.ndarray:
@@ -71,13 +74,41 @@ class TokenTree:
                 node += 1
         return node - self.size, start
 
-    def _put(self, leaf: int, text: str, tokens: int) -> None:
-        self.leaves[leaf] = text
-        for tree, value in ((self.chars, len(text)), (self.tokens, tokens)):
-            node, change = self.size + leaf, value - int(tree[self.size + leaf])
-            while change and node:
-                tree[node] += change
-                node //= 2
+    def _lay(self, low: int, high: int, leaves: list[str], tokens: list[int]) -> None:
+        """Spread leaves over the places from ``low`` to ``high`` (exclusive) and add up what lies above."""
+        room = high - low
+        self.leaves[low:high] = [""] * room
+        at = [low + i * room // max(1, len(leaves)) for i in range(len(leaves))]
+        for place, leaf in zip(at, leaves):
+            self.leaves[place] = leaf
+        for tree, values in ((self.chars, list(map(len, leaves))), (self.tokens, tokens)):
+            tree[self.size + low : self.size + high] = 0
+            tree[[self.size + place for place in at]] = values
+            left, right = self.size + low, self.size + high - 1
+            while left > 1:
+                left, right = left // 2, right // 2
+                tree[left : right + 1] = tree[2 * left : 2 * right + 2 : 2] + tree[2 * left + 1 : 2 * right + 2 : 2]
+
+    def _replace(self, first: int, last: int, leaves: list[str], tokens: list[int]) -> None:
+        """Put leaves in the place of those from ``first`` to ``last``, which may need a wider stretch."""
+        low, high, width = first, last + 1, 1
+        while len(leaves) > high - low or (width > 1 and 4 * len(leaves) > 3 * (high - low)):
+            width *= 2
+            if width > self.size:
+                self.leaves += [""] * self.size
+                held = [self.tokens[self.size :].tolist(), self.chars[self.size :].tolist()]
+                self.size *= 2
+                self.tokens, self.chars = (self._sums(values) for values in held)
+            wide = first // width * width
+            if wide + width <= last:
+                continue
+            near = [at for at in (*range(wide, low), *range(high, wide + width)) if self.leaves[at]]
+            before = [at for at in near if at < low]
+            behind = near[len(before) :]
+            leaves = [self.leaves[at] for at in before] + leaves + [self.leaves[at] for at in behind]
+            tokens = [int(self.tokens[self.size + at]) for at in before] + tokens + [int(self.tokens[self.size + at]) for at in behind]
+            low, high = wide, wide + width
+        self._lay(low, high, leaves, tokens)
 
     def _beside(self, leaf: int, step: int) -> int:
         """The next leaf with text, or the given one at the end."""
@@ -91,18 +122,14 @@ class TokenTree:
         length = int(self.chars[1])
         start = min(max(start, 0), length)
         stop = min(max(stop, start), length)
-        if not self.leaves:
-            self.leaves = [""]
         first, _ = self._leaf_at(start)
         last, _ = self._leaf_at(max(start, stop - 1))
         first, last = self._beside(first, -1), self._beside(last, 1)
         begin = self._begin(first)
         old = "".join(self.leaves[first : last + 1])
         new = old[: start - begin] + text + old[stop - begin :]
-        for leaf in range(first + 1, last + 1):
-            if self.leaves[leaf]:
-                self._put(leaf, "", 0)
-        self._put(first, new, self.count([new])[0])
+        leaves = cut(new)
+        self._replace(first, last, leaves, list(self.count(leaves)) if leaves else [])
         self.encoded += len(new)
 
     def _begin(self, leaf: int) -> int:

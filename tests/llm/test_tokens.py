@@ -132,6 +132,24 @@ def test_an_edit_touches_little():
     assert tree.encoded < 60
 
 
+@pytest.mark.parametrize("where", ["every word", "one place", "backwards", "random"])
+def test_many_edits_encode_in_proportion(library, where):
+    """4,000 edits in 52 KB: each encodes a few words, whether they are spread, beside each other or in one place."""
+    pairs, draw = byte_pairs.load(queries.VOCABULARY), random.Random(5)
+    text = " ".join(f"word{i:05d}x" for i in range(4400))
+    leaves = token_counts.cut(text)
+    tree = token_counts.TokenTree(leaves, pairs.leaf_counts([leaves])[0], pairs.counts)
+    places = {"every word": range(0, 44_000, 11), "one place": [20_000] * 4000, "backwards": range(44_000, 0, -11)}
+    for turn, at in enumerate(places.get(where) or [draw.randrange(len(text)) for _ in range(4000)]):
+        old, new = (3, " a b") if where == "random" else (0, " new words") if where == "one place" else (4, "edit")
+        text = text[:at] + new + text[at + old :]
+        tree.edit(at, at + old, new)
+        if turn % 800 == 0:
+            assert tree.text() == text and tree.total == len(ids(library, text))
+    assert tree.text() == text and tree.total == len(ids(library, text))
+    assert tree.encoded <= 60 * 4000
+
+
 def test_token_counts_from_a_table_of_edits(spark, library, docs):
     edits = spark.createDataFrame(
         [(3, 1, 0, 3, "two"), (3, 2, 3, 3, " three"), (12, 1, 0, 99, None), (13, 1, 500, 900, "!"), (4, 1, -5, 2, "")],
