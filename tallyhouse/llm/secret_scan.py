@@ -13,7 +13,9 @@ answered; columns other than those named pass through ``redact`` as they are.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -34,19 +36,19 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Digits and letters of one case vary little, and words vary as much: shorter strings of them are not told from numbers and words.
+#: Digits vary little: shorter strings of them are not told from numbers. Longer windows of letters vary more.
 LONG_WINDOW = 32
 #: For the classes of a window: the entropy in bits at which it is suspicious, below what nearly all random strings of the
 #: class and the window's length reach. Joints are what stands between words, [+/_=-].
 THRESHOLDS = {
     WINDOW: {
         "hex": 3.0,
-        "one case": 4.1,  # first letters may be large
+        "one case": 3.3,  # first letters may be large
         "letters": 3.65,
         "one case, digits": 3.5,
         "letters, digits": 3.6,
         "joints, hex": 3.2,
-        "joints, one case": 3.8,
+        "joints, one case": 3.6,
         "joints, letters": 3.8,
         "joints, one case, digits": 3.8,
         "joints, letters, digits": 3.65,
@@ -56,6 +58,16 @@ THRESHOLDS = {
 #: Kinds of characters, and where each is counted.
 DIGIT, SMALL_HEX, SMALL, LARGE_HEX, LARGE, JOINT = range(6)
 _KIND = {c: kind for kind, chars in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_=-")) for c in chars}
+# Pairs of letters that are frequent in English, German, French and Spanish words.
+FREQUENT = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li "
+    "ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol "
+    "rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op sa ay ke fr oo av "
+    "ag if ap gr do sp uc bu ei ov by rm ep tt oc ef au ck ft sc ff ue".split()
+)
+#: A window of so many letters beside letters, of which so many percent are frequent pairs, reads like words: random letters
+#: have about 23 %, words 60 and more. With digits between them there are fewer pairs, so more of them have to be frequent.
+LEAST_PAIRS, WORDLIKE_PERCENT, WORDLIKE_PERCENT_WITH_DIGITS = 6, 44, 50
 #: Words as they are joined to names and paths: of one case, or with humps.
 _WORD = r"(?:[A-Z]?[a-z]{1,15}(?:[A-Z][a-z]{1,15})*|[A-Z]{1,15})"
 #: Strings that look random and are no secrets. A window that overlaps one is not suspicious; others of the candidate are judged.
@@ -111,8 +123,13 @@ def class_of(kinds: list[int]) -> str:
 def judged(candidate: str, window: int, quiet: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Stretches of a candidate that are covered by windows of at least the entropy of their own class.
 
-    Windows that overlap one of the ``quiet`` stretches, which are sorted and apart, are left out.
+    Windows that overlap one of the ``quiet`` stretches, which are sorted and apart, are left out, and so are those that
+    read like words: as an allow-list of pairs of letters, counted as the window moves.
     """
+    small = candidate.lower()
+    letters = [a.isalpha() and b.isalpha() for a, b in zip(small, small[1:])]
+    frequent = [a + b in FREQUENT for a, b in zip(small, small[1:])]
+    pairs = usual = 0
     gain = _GAINS[window]
     least = {name: (log2(window) - bits) * window + 1e-9 for name, bits in THRESHOLDS[window].items()}
     most = max(least.values())
@@ -127,11 +144,19 @@ def judged(candidate: str, window: int, quiet: list[tuple[int, int]]) -> list[tu
             counts[old] = n - 1
             kinds[_KIND[old]] -= 1
             total += gain[n - 1] - gain[n]
+            pairs -= letters[at - window]
+            usual -= frequent[at - window]
+        if at:
+            pairs += letters[at - 1]
+            usual += frequent[at - 1]
         n = counts[char]
         counts[char] = n + 1
         kinds[_KIND[char]] += 1
         total += gain[n + 1] - gain[n]
-        if at >= window - 1 and total <= most and total <= least.get(class_of(kinds), -1.0):
+        if at >= window - 1 and total <= most and total <= least.get(kind := class_of(kinds), -1.0):
+            enough = WORDLIKE_PERCENT_WITH_DIGITS if kinds[DIGIT] else WORDLIKE_PERCENT
+            if pairs >= LEAST_PAIRS and 100 * usual >= enough * pairs and not kind.endswith("hex"):
+                continue
             start = at - window + 1
             while quiet_to <= start:
                 quiet_from, quiet_to = next(ahead)
@@ -176,10 +201,12 @@ def find_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[tup
         spans += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if longest >= WINDOW:
         base = sorted(spans)
+        starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
         for m in CANDIDATE.finditer(text):
             for start, end in stretches(m[0], allowed):
                 start, end = start + m.start(), end + m.start()
-                if not any(a <= start and end <= b for a, b, _ in base):
+                before = bisect_right(starts, start)
+                if not before or reach[before - 1] < end:  # no base span holds it
                     spans.append((start, end, "entropy"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -6,7 +6,9 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -100,6 +102,86 @@ def test_random_keys_of_each_class_are_found(alphabet, length, prefix):
     assert found >= 0.95 * len(keys)
 
 
+@pytest.mark.parametrize("length", [20, 24, 28])
+@pytest.mark.parametrize("alphabet", [SMALL, SMALL.upper(), SMALL + SMALL.upper()])
+def test_short_keys_of_letters_are_found(alphabet, length):
+    draw = random.Random(11)
+    keys = ["".join(draw.choices(alphabet, k=length)) for _ in range(300)]
+    assert sum(bool(secret_scan.find_spans(f"see {key} here")) for key in keys) >= 0.9 * len(keys)
+
+
+def test_identifiers_and_long_words_are_left_alone():
+    for quiet in (
+        "getElementsByTagNameAndClassName", "AbstractSingletonProxyFactoryBean", "Donaudampfschifffahrtsgesellschaft",
+        "2024-01-02_report_final_v2_reviewed", "PySparkNotImplementedError", "internationalizationandlocalization",
+        "Rindfleischetikettierungsueberwachungsaufgabenuebertragungsgesetz", "anticonstitutionnellementparlant",
+        "spark_sql_execution_arrow_maxRecordsPerBatch", "electroencefalografistasreunidos",
+    ):
+        assert not secret_scan.find_spans(f"x {quiet} y"), quiet
+
+
+def test_sources_hold_few_spans():
+    """In Spark's own Python sources hardly anything but encoded data is found, less than three times a MB."""
+    import pyspark
+
+    files = sorted(Path(pyspark.__file__).parent.rglob("*.py"))
+    texts = [file.read_text(encoding="utf-8") for file in files if "tests" not in file.parts]
+    spans = [(text[a:b], kind) for text in texts for a, b, kind in secret_scan.find_spans(text) if kind == "entropy"]
+    assert sum(map(len, texts)) > 3_000_000
+    assert len(spans) <= 3 * sum(map(len, texts)) / 1_000_000
+    assert sum(span.isalpha() for span, _ in spans) <= sum(map(len, texts)) / 2_000_000, spans
+
+
+def plain_judged(candidate: str, window: int, quiet: list) -> set[int]:
+    """Characters of suspicious windows, each window looked at by itself."""
+    covered = set()
+    for start in range(len(candidate) - window + 1):
+        own = candidate[start : start + window]
+        entropy = -sum(n / window * math.log2(n / window) for n in Counter(own).values())
+        digits, joints = any(c.isdigit() for c in own), any(c in "+/_=-" for c in own)
+        letters = [c for c in own if c.isalpha()]
+        large = [c for c in letters if c.isupper()]
+        beyond = [c for c in letters if c.lower() > "f"]
+        if not letters:
+            name = "digits"
+        elif not beyond and (digits or not joints):
+            name = "hex"
+        else:
+            name = ("one case" if len(large) <= 1 or len(large) == len(letters) else "letters") + (", digits" if digits else "")
+        name = ("joints, " if joints else "") + name
+        least = secret_scan.THRESHOLDS[window].get(name)
+        pairs = [own[i : i + 2].lower() for i in range(window - 1) if own[i : i + 2].isalpha()]
+        wordlike = len(pairs) >= 6 and sum(p in secret_scan.FREQUENT for p in pairs) >= (0.5 if digits else 0.44) * len(pairs)
+        if least is None or entropy < least - 1e-9 or wordlike and not name.endswith("hex"):
+            continue
+        if not any(a < start + window and start < b for a, b in quiet):
+            covered.update(range(start, start + window))
+    return covered
+
+
+def test_windows_beside_each_by_itself():
+    draw = random.Random(4)
+    pools = [SMALL, SMALL + SMALL.upper(), DIGITS, DIGITS + "abcdef", DIGITS + "ABCDEF", SMALL + DIGITS, "ab", "+/_=-", SMALL + "_-"]
+    for _ in range(300):
+        candidate = "".join("".join(draw.choices(draw.choice(pools), k=draw.randint(1, 30))) for _ in range(draw.randint(1, 6)))
+        quiet = sorted((a, a + 5) for a in draw.sample(range(0, 200, 7), 1))
+        for window in secret_scan.THRESHOLDS:
+            got = secret_scan.judged(candidate, window, quiet)
+            assert {p for a, b in got for p in range(a, b)} == plain_judged(candidate, window, quiet), candidate
+
+
+def test_many_base_spans_take_time_in_proportion():
+    key = "0123456789abcdef0123456789abcdef01234567 "
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert len(secret_scan.find_spans(key * n)) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(8000) < 30 * max(seconds(1000), 0.02)
+
+
 def test_the_allow_list_hides_only_what_it_overlaps():
     key = "aZ9qLm2xW0pTr7bYc4VnKe8u"
     draw = random.Random(3)
