@@ -14,6 +14,7 @@ to be scored in full. Nothing is approximate: ranks and scores are those of ``bm
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -26,8 +27,11 @@ from tallyhouse.sources.store import Store
 from tallyhouse.sources.versions import Version, Versions
 
 BLOCK = 16
-#: Buckets of a segment, and salts that a term's blocks are dealt over.
+#: Buckets of a segment, and salts that a term's blocks are dealt over, at least.
 BUCKETS, SALTS = 8, 8
+#: Postings of a bucket, which one task sorts, and chunks for each salt, which bound the postings of a term and salt; a
+#: larger segment has more buckets and salts.
+BUCKET_POSTINGS, SALT_CHUNKS = 1_000_000, 100_000
 #: Segments that are merged into one; a search plans a join for each.
 MOST_SEGMENTS = 8
 #: Chunk ids marked as deleted that are broadcast at most; more are taken out by a merge.
@@ -89,7 +93,7 @@ class PassageIndex:
         if not self.spark.catalog.tableExists(table):
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {table} ({segment['schema']}) USING parquet "
-                f"CLUSTERED BY (term, salt) SORTED BY (term, salt) INTO {self.buckets} BUCKETS "
+                f"CLUSTERED BY (term, salt) SORTED BY (term, salt) INTO {segment.get('buckets', self.buckets)} BUCKETS "
                 f"LOCATION '{self.folder}/{segment['name']}/postings'"
             )
         return self.spark.table(table)
@@ -132,13 +136,16 @@ class PassageIndex:
         store = Store(self.spark, f"{self.folder}/{name}")
         placed = rows.sortWithinPartitions("dl").withColumn("block", F.expr(f"monotonically_increasing_id() div {self.block}"))
         placed = store.write("counts", placed)
-        sizes = placed.agg(F.count("*").alias("chunks"), F.sum("dl").alias("tokens")).first()
+        postings = F.sum(F.size("counts")).alias("postings")
+        sizes = placed.agg(F.count("*").alias("chunks"), F.sum("dl").alias("tokens"), postings).first()
         if not sizes.chunks:
             return None
+        buckets = max(self.buckets, math.ceil((sizes.postings or 0) / BUCKET_POSTINGS))
+        salts = max(SALTS, math.ceil(sizes.chunks / SALT_CHUNKS))
         listed = bm25._listed(placed, ["chunk_id", "dl", "block"], F.col("counts"), "term")
-        salted = listed.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+        salted = listed.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
         blocks = (
-            salted.repartition(self.buckets, "term", "salt")
+            salted.repartition(buckets, "term", "salt")
             .groupBy("term", "salt", "block")
             .agg(
                 F.max("tf").alias("most_tf"),
@@ -147,9 +154,9 @@ class PassageIndex:
             )
         )
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
-        segment = {"name": name, "schema": schema, "deleted": []}
+        segment = {"name": name, "schema": schema, "buckets": buckets, "salts": salts, "deleted": []}
         table = f"passages_{name}"
-        writer = blocks.write.bucketBy(self.buckets, "term", "salt").sortBy("term", "salt")
+        writer = blocks.write.bucketBy(buckets, "term", "salt").sortBy("term", "salt")
         writer.option("path", store.path("postings")).saveAsTable(table)
         terms = self._postings(segment).groupBy("term").agg(
             F.sum(F.size("hits")).alias("df"), F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl")
@@ -234,9 +241,9 @@ class PassageIndex:
 
         The terms asked for are repeated for each salt and meet the buckets; postings do not move.
         """
-        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         parts = []
         for segment in self.segments:
+            salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(segment.get("salts", SALTS) - 1))))
             found = self._postings(segment).join(salted, ["term", "salt"]).withColumn("segment", F.lit(segment["name"]))
             marks = self._marks(segment)
             if marks is not None:  # MOST_MARKS ids at most
