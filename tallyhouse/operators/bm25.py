@@ -22,6 +22,8 @@ TOP_K = 3
 RANK_DECIMALS = 6
 # So many short rows (an id, a term and a number) are broadcast at a time.
 BROADCAST_ROWS = 2_000_000
+# Postings that meet a query's term in one task; it holds the pairs they add up to.
+TASK_MATCHES = 2_000_000
 _ALL = ""  # the pseudo-term that counts every chunk once
 # Rows of one term are joined in so many places, so a term that every chunk holds is no hot key.
 SALTS = 64
@@ -142,6 +144,13 @@ def _broadcast_blocks(written: DataFrame, side: DataFrame, key: str) -> list[Dat
     return [F.broadcast(side.filter(block == i) if blocks > 1 else side) for i in range(blocks)]
 
 
+def _spread(rows: DataFrame, key: str, asked: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Rows dealt by key to as many tasks as their matches need, by the counts in ``frequency``, or as there are cores."""
+    matches = _join_terms(asked, "query_id", frequency, "inner").agg(F.sum("df")).first()[0] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, math.ceil(matches / TASK_MATCHES)), key)
+
+
 def _scores(counted: DataFrame, asked: DataFrame) -> DataFrame:
     """Score of every query and chunk that share a term; ``asked`` brings what is known of its terms."""
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
@@ -170,7 +179,7 @@ def search(
 
     With a store, text is read once: the postings of the terms asked for are written, and
     statistics and scores come from them. IDF is attached to the terms of the queries. The more
-    numerous side is spread by its id; the other is broadcast to it in blocks, one after the other,
+    numerous side is spread by its id, over tasks by the counted matches; the other is broadcast to it in blocks, one after the other,
     each block's best written before the next. All that adds to one score is then in one place, so
     pairs are never shuffled, only the k best of each query and task. Joins by term are salted.
     """
@@ -181,15 +190,17 @@ def search(
     if store:
         counted = store.write("bm25_postings", counted)
     frequency = _frequency(counted)
-    stats = _stats(store.write("bm25_terms", frequency) if store else frequency)
+    if store:
+        frequency = store.write("bm25_terms", frequency)
+    stats = _stats(frequency)
     weighed = _join_terms(asked, "query_id", stats.drop("df"), "inner")
 
     if more_queries_than_chunks:
-        wide = weighed.repartition("query_id")
+        wide = _spread(weighed, "query_id", asked, frequency) if store else weighed.repartition("query_id")
         blocks = _broadcast_blocks(counted, counted, "chunk_id") if store else [counted]
         parts = [_best(_scores(block, wide), k) for block in blocks]
     else:
-        wide = counted.repartition("chunk_id")
+        wide = _spread(counted, "chunk_id", asked, frequency) if store else counted.repartition("chunk_id")
         blocks = _broadcast_blocks(asked, weighed, "query_id") if store else [weighed]
         parts = [_best(_scores(wide, block), k) for block in blocks]
     if len(parts) == 1:
