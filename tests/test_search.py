@@ -8,12 +8,14 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from checks import queries as registered
 from tallyhouse.operators import bm25
 from tallyhouse.operators.chunking import chunk_markdown
 from tallyhouse.plans import questions
+from tallyhouse.sources import files
 from tallyhouse.sources.audit import AuditLog
 from tallyhouse.sources.store import Store
 from tests.test_functions import python_tokens
@@ -66,6 +68,23 @@ WRITTEN = {
 }
 
 
+def test_a_folder_is_listed_once_and_small_files_share_a_task(spark, tmp_path, monkeypatch):
+    for i in range(300):
+        (tmp_path / f"doc {i}.md").write_text(f"# Title {i}\n## One\nbody {i}")
+    for inner in ("notes", "lang=en"):  # neither read nor taken for partitions
+        (tmp_path / inner).mkdir()
+        (tmp_path / inner / "deep.md").write_text("deep")
+    (tmp_path / "other.txt").write_text("other")
+    monkeypatch.setattr(files, "TASK_BYTES", 1000)
+    read = files.read_markdown(spark, str(tmp_path))
+    assert sorted(read.collect()) == sorted((f"doc {i}", f"# Title {i}\n## One\nbody {i}") for i in range(300))
+    assert read.inputFiles() and read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    scan = read._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    assert scan.rootPaths().length() == 1
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        files.read_markdown(spark, str(tmp_path / "notes" / "none"))
+
+
 def test_sections_of_written_documents(spark):
     frame = spark.createDataFrame([(d, t) for d, (t, _) in WRITTEN.items()], "doc string, text string")
     got = chunk_markdown(frame).orderBy("doc", "position").select("doc", "title", "heading", "text")
@@ -166,6 +185,22 @@ def test_blocks_and_shuffle_joins_give_the_same(spark, small, monkeypatch, many_
     assert one_block == blocks == shuffled and one_block
 
 
+@pytest.mark.parametrize("many_queries", [False, True])
+def test_tasks_follow_the_matches(spark, monkeypatch, many_queries):
+    """A task holds the pairs its rows add up to, so more matches get more tasks."""
+    chunks = spark.createDataFrame([(i, "head", f"common word{i % 7} word{i % 5}") for i in range(200)], "chunk_id int, heading string, text string")
+    asked = spark.createDataFrame([(i, f"common word{i % 5}") for i in range(40)], "query_id int, query string")
+    search = lambda: bm25.search(chunks, asked, store=Store.fresh(spark, "bm25"), more_queries_than_chunks=many_queries)
+    rows = lambda found: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in found.collect())
+    whole = rows(search())
+    monkeypatch.setattr(bm25, "TASK_MATCHES", 100)
+    dealt, repartition = [], type(chunks).repartition
+    monkeypatch.setattr(type(chunks), "repartition", lambda self, n, *by: (dealt.append((n, *by)), repartition(self, n, *by))[1])
+    assert rows(search()) == whole
+    matches = sum(len({*c.split()} & {*q.split()}) for _, _, c in chunks.collect() for _, q in asked.collect())
+    assert dealt == [(math.ceil(matches / 100), "query_id" if many_queries else "chunk_id")]
+
+
 def test_term_counts_of_a_hot_term(spark):
     text = "alpha " * 200_000 + "beta"
     rows = spark.createDataFrame([(1, text), (2, ""), (3, "the of")], "k int, v string")
