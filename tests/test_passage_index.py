@@ -179,13 +179,13 @@ def test_two_writers(spark, asked):
 
 def test_a_larger_segment_has_more_buckets_and_salts(spark, asked, monkeypatch):
     """No bucket, which one task sorts, grows with the segment."""
-    monkeypatch.setattr(passage_index, "BUCKET_POSTINGS", 600)
+    monkeypatch.setattr(passage_index, "BUCKET_POSTINGS", 300)
     monkeypatch.setattr(passage_index, "SALT_CHUNKS", 30)
     rows = chunk_rows(0, 360)
     chunks = spark.createDataFrame(rows, CHUNKS)
     index = PassageIndex.open(spark, folder(spark)).add(chunks)
     postings, segment = bm25.postings(chunks).count(), index.segments[0]
-    assert (segment["buckets"], segment["salts"]) == (math.ceil(postings / 600), 12) and segment["buckets"] > 8
+    assert (segment["buckets"], segment["salts"]) == (math.ceil(postings / 300), 12) and segment["buckets"] > 8
     sizes = [r.n for r in index._postings(segment).groupBy(F.input_file_name()).agg(F.sum(F.size("hits")).alias("n")).collect()]
     assert sum(sizes) == postings and max(sizes) < postings / 4
     assert ranks(index.search(asked)) == expected(spark, rows, asked, 3)
