@@ -43,14 +43,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """Columns of a table whose rows take much work, in a task for each core at least: a test table is one row group.
 
-    A table that is read in that many tasks anyway stays where it is.
+    A table whose rows are read in that many tasks anyway stays where it is. Parts of a file count by their rows:
+    a row group goes to one task, whatever number of parts its file is cut into.
     """
     rows, cores = table(spark, folder, name).select(*columns), spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, F.col(columns[0]))
+    parts = rows.rdd.getNumPartitions()
+    if parts >= cores:
+        held = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))  # read from footers
+        most, every = held.agg(F.max("n"), F.sum("n")).first()
+        if not every or most * cores <= 2 * every:
+            return rows
+    return rows.repartition(max(parts, cores), F.col(columns[0]))
 
 
 def crm(spark: SparkSession, folder: str) -> DataFrame:
-    customers = table(spark, folder, "customer")
+    customers = spread_table(spark, folder, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     key = F.col("c_custkey")
     since = F.date_add(F.lit("1995-01-01").cast("date"), (key % 2200).cast("int"))
