@@ -33,6 +33,21 @@ def test_a_filter_that_is_too_small_only_lets_more_pass(spark, monkeypatch):
     assert keys.filter(~found).isEmpty()
 
 
+def test_a_look_up_names_the_words_once_and_the_key_twice(spark):
+    """Else tasks carry a copy of the words for each bit, and a key pushed down to its scan is worked out for each."""
+    keys = spark.range(1000).select(F.concat(F.lit("C-"), F.col("id").cast("string")).alias("key"))
+    found = KeyFilter.of(keys, "key", 1000, Store.fresh(spark, "filter"), "filter").may_have(F.col("key"))
+    plan = keys.filter(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Filter")[1].count("scalar-subquery") == 1
+    assert plan.split("Filter")[1].count("concat(C-") == 2
+
+
+def test_a_key_that_repeats_is_looked_up_alike(spark):
+    keys = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "key string")
+    found = KeyFilter.of(keys, "key", 4, Store.fresh(spark, "filter"), "filter").may_have(F.col("key"))
+    assert [r.found for r in keys.select(found.alias("found")).collect()] == [True, True, False, True]
+
+
 def facts_of(spark):
     """A third of the facts are one unknown customer's, others' keys are unknown, unreadable or fine."""
     key = F.expr("CASE WHEN id % 3 = 0 THEN 'C-hot' WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN concat('U-', id) ELSE concat('C-', id % 100) END")
