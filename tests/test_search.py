@@ -85,6 +85,37 @@ def test_a_folder_is_listed_once_and_small_files_share_a_task(spark, tmp_path, m
         files.read_markdown(spark, str(tmp_path / "notes" / "none"))
 
 
+ODD_FILES = {
+    "a.md": b"# T\nx", "b c.md": b"space", "p+q.md": b"plus", "50%20.md": b"percent", "\u00e9t\u00e9.md": "caf\u00e9".encode(), "x.md.md": b"twice",
+    "bad.md": b"ok \xff end", "mark.md": b"\xef\xbb\xbfx", "lines.md": b"a\r\nb\x00c", "empty.md": b"", "_a=1.md": b"kept",
+    "_left.md": b"out", ".left.md": b"out", "UPPER.MD": b"out", "other.txt": b"out",
+}
+
+
+def test_a_large_folder_is_read_by_names_that_the_driver_does_not_hold(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "notes & \u00e9%20"
+    (folder / "deep.md").mkdir(parents=True)
+    (folder / "deep.md" / "in.md").write_text("deep")
+    for name, content in ODD_FILES.items():
+        (folder / name).write_bytes(content)
+
+    def rows(frame):
+        return sorted(map(tuple, frame.select("doc", F.hex("text")).collect()))
+
+    few = files.read_markdown(spark, str(folder))
+    monkeypatch.setattr(files, "LISTED_FILES", 3)
+    monkeypatch.setattr(files, "_NAMES", 4)
+    monkeypatch.setattr(files, "_TEXT_BYTES", 8)
+    many = files.read_markdown(spark, str(folder))
+    assert rows(many) == rows(few) and len(rows(many)) == 10
+    assert few.inputFiles() and not many.inputFiles()
+    assert many.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows(files.read_markdown(spark, f"{tmp_path}/notes*")) == rows(few)
+    (folder / "none").mkdir()
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        files.read_markdown(spark, str(folder / "none"))
+
+
 def test_sections_of_written_documents(spark):
     frame = spark.createDataFrame([(d, t) for d, (t, _) in WRITTEN.items()], "doc string, text string")
     got = chunk_markdown(frame).orderBy("doc", "position").select("doc", "title", "heading", "text")
